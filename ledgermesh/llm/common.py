@@ -34,8 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ids_only(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """df joined to a one-column table of ids: broadcast behind a count of the ids, else shuffled."""
+def ids_only(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """df joined to a table of ids: broadcast behind a count of the ids, else shuffled."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if small else ids, on, how)
 

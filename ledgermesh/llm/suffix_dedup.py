@@ -18,9 +18,15 @@ first ranks are those of content-chosen positions:
 2. Segments of equal rank are ranked again by all of their content.  Where that
    rank is not unique, every window of the segment repeats, and it is settled.
 3. Of each rank of step 2 one segment stays; where a rank of step 1 has several
-   of these, their windows are ranked one by one: the pair of the rank of
-   the first half at p and of the second half at p + length / 2, which doubles
-   the length to ``length``.  Windows whose pair is not unique repeat.
+   of these, they are cut to runs of at most ``STEP`` windows, by the distance
+   to the first place of their least string, which equal windows have in common.
+   What all windows of a run share, ``length - STEP + 1`` bytes or more, ranks
+   the run: unique ones drop out.  A run whose whole content is not unique is
+   settled.
+4. The other runs, which lie where repeats end, are ranked window by window: the
+   pair of the rank of the first half at p and of the second half at
+   p + length / 2 doubles the length to ``length``; windows whose pair is not
+   unique repeat.
 
 Ranks are 64-bit hashes of contents rather than dense numbers: they need no
 global sort, and equal contents meet by a shuffle in which partial counts are
@@ -44,8 +50,10 @@ from .common import ids_only, written
 from .shingles import _SEED, mixed, powers
 
 GRAM = 64
+STEP = 16
 KEY = ["k1", "k2"]
 SEGMENTS = "k1 long, k2 long, first int, last int, gram long, name long, again boolean"
+RUNS = "core long, name long, k1 long, k2 long, first int, last int, open boolean"
 WINDOWS = "h long, k1 long, k2 long, pos int, open boolean"
 _VALUE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -92,6 +100,30 @@ def segments_of(a: np.ndarray, length: int, seen: np.ndarray):
     return first.astype(np.int32), last.astype(np.int32), gram, name, again
 
 
+def runs_of(a: np.ndarray, parts: list[tuple[int, int, bool]], length: int):
+    """(core, name, first, last, open) of the runs of some segments (first, last, open) of a text."""
+    total, n = _sums(a), len(a)
+    grams = _hashes(total, slice(0, n - GRAM + 1), slice(GRAM, n + 1))
+    reach = length - GRAM + 1
+    first, last, place, flag = [], [], [], []
+    for f, e, is_open in parts:
+        window = grams[f : f + reach]
+        spots = f + np.flatnonzero(grams[f : e + reach] == window.min())
+        pos = np.arange(f, e + 1)
+        spot = spots[np.searchsorted(spots, pos)]
+        cut = np.flatnonzero((np.diff(spot) != 0) | (np.diff((spot - pos) // STEP) != 0)) + 1
+        first.append(pos[np.concatenate([[0], cut])])
+        last.append(pos[np.concatenate([cut - 1, [len(pos) - 1]])])
+        place.append(spot[np.concatenate([[0], cut])])
+        flag += [is_open] * (len(cut) + 1)
+    first, last, place = (np.concatenate(x) for x in (first, last, place))
+    far = (place - first) // STEP * STEP  # least distance of the full run
+    core = mixed(_hashes(total, place - far, place - far - STEP + 1 + length)) + far.astype(np.uint64)
+    shape = ((place - first) * 1024 + (place - last)).astype(np.uint64)
+    name = mixed(_hashes(total, first, last + length)) + mixed(shape)
+    return mixed(core), mixed(name), first.astype(np.int32), last.astype(np.int32), np.array(flag)
+
+
 def window_ranks(a: np.ndarray, first: list[int], last: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the windows of some segments, and the pair of the ranks of their halves as one number."""
     total, half = _sums(a), length // 2
@@ -129,6 +161,13 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
             if held:
                 yield out()
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                core, name, first, last, flags = runs_of(np.frombuffer(text.encode(), np.uint8), [(p["first"], p["last"], p["open"]) for p in parts], length)
+                n = len(core)
+                yield pa.RecordBatch.from_arrays([_int64(core), _int64(name), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(first), pa.array(last), pa.array(flags)], ["core", "name", "k1", "k2", "first", "last", "open"])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k1, k2, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -138,6 +177,12 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
                 n = len(pos)
                 yield pa.RecordBatch.from_arrays([_int64(h), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(pos.astype(np.int32)), pa.array(flags)], ["h", "k1", "k2", "pos", "open"])
 
+    def in_texts(parts: DataFrame, work, schema: str, name: str) -> DataFrame:
+        """Apply work to the texts that parts (k1, k2, first, last, open) lie in, with the list of a text's parts."""
+        lists = written(parts.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "open")).alias("parts")), f"{name}-parts")
+        some = ids_only(long_ones.select(*KEY, "text"), lists.select(*KEY), KEY).dropDuplicates(KEY)
+        return written(some.join(lists, KEY).select(*KEY, "text", "parts").mapInArrow(work, schema), name)
+
     long_ones = docs.where(F.octet_length("text") >= length)
     segs = written(long_ones.select(*KEY, "text").mapInArrow(segments, SEGMENTS), "suffix-segments")
     alive = segs.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("gram")
@@ -147,12 +192,20 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     settled = segs.join(names.where("c > 1").select("gram", "name"), ["gram", "name"], "left_semi").select(*KEY, "first", "last")
     several = names.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("gram")
     kept = names.join(several, "gram").select("one.*", (F.col("c") == 1).alias("open"))
-    per_doc = written(kept.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "open")).alias("parts")), "suffix-kept")
-    some = ids_only(long_ones.select(*KEY, "text"), per_doc.select(*KEY), KEY).dropDuplicates(KEY)
-    ranked = written(some.join(per_doc, KEY).select(*KEY, "text", "parts").mapInArrow(windows, WINDOWS), "suffix-windows")
+
+    cut = in_texts(kept, runs, RUNS, "suffix-cut")
+    shared = cut.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core")
+    cut = written(cut.join(shared, "core"), "suffix-shared")
+    whole = cut.groupBy("core", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEY, "first", "last", "open")).alias("one"))
+    whole = written(whole, "suffix-whole")
+    settled_runs = cut.where("open").join(whole.where("c > 1").select("core", "name"), ["core", "name"], "left_semi").select(*KEY, "first", "last")
+    several = whole.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
+    ends = whole.join(several, "core").select("one.k1", "one.k2", "one.first", "one.last", (F.col("one.open") & (F.col("c") == 1)).alias("open"))
+
+    ranked = in_texts(ends, windows, WINDOWS, "suffix-windows")
     twice = ranked.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     single = ranked.where("open").join(twice, "h").select(*KEY, F.col("pos").alias("first"), F.col("pos").alias("last"))
-    return settled.unionByName(single)
+    return settled.unionByName(settled_runs).unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

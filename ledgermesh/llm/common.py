@@ -26,11 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback["dir"]
 
 
+#: With it, the shuffle files of a query go as soon as the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df: write it to a table in the shared folder and read that."""
+    """Cut the lineage of df: write it to a table in the shared folder and read that.
+
+    The shuffle files that made the table are removed at once: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # a new plan under the setting; df itself may have been planned without it
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ class TextEncoder:
     another kind, goes through the tokenizers library itself.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         """limit: the number of distinct words that a worker remembers at most."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -84,18 +84,20 @@ class TextEncoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
 
     def _learn(self, new: list[str]) -> None:
+        """Encode words with a mark after each; plain ASCII apart, as it needs no normalisation."""
         odd = [w for w in new if _END in w or _MARK in w or any(a in w for a in self.added)]
-        new = list(set(new).difference(odd)) if odd else list(new)
+        new = list(set(new).difference(odd)) if odd else new
         self.cache.update((w, self._library(w).tobytes()) for w in odd)
-        ids = self._ranked(f" {_MARK} ".join([*new, ""]))
-        ends = np.flatnonzero(ids == self.mark)
-        if len(ends) != len(new):
-            self.cache.update((w, self._library(w).tobytes()) for w in new)
-            return
-        raw, start, size = ids.tobytes(), 0, self.dtype.itemsize
-        for w, end in zip(new, (ends * size).tolist()):
-            self.cache[w] = raw[start:end]
-            start = end + size
+        size = self.dtype.itemsize
+        for part in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
+            ids = self._ranked(f" {_MARK} ".join([*part, ""]))
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part):
+                self.cache.update((w, self._library(w).tobytes()) for w in part)
+                continue
+            raw, ends = ids.tobytes(), (ends * size).tolist()
+            starts = [0, *[e + size for e in ends]]
+            self.cache.update(zip(part, map(raw.__getitem__, map(slice, starts, ends))))
 
     def _encode_words(self, texts: list[str | None]) -> list[np.ndarray]:
         """White space separates words for good, so each distinct word is encoded once per worker."""
@@ -107,13 +109,14 @@ class TextEncoder:
             new = seen
         if new:
             self._learn(list(new))
-        get = self.cache.__getitem__
+        # a small table for these texts: most words come again at once
+        get = dict(zip(seen, map(self.cache.__getitem__, seen))).__getitem__
         return [np.frombuffer(b"".join(map(get, c)), self.dtype) for c in cut]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (None: no ids), in ``dtype``."""
         if self.words is not None:
-            return [x for i in range(0, len(texts), 64) for x in self._encode_words(texts[i : i + 64])]
+            return [x for i in range(0, len(texts), 256) for x in self._encode_words(texts[i : i + 256])]
         return [self._encode_bytes(t) for t in texts]
 
     def _encode_bytes(self, text: str | None) -> np.ndarray:

@@ -6,6 +6,8 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The split of byte-level vocabularies before merging (a fixed value).
@@ -101,22 +103,28 @@ class TextEncoder:
 
     def _encode_words(self, texts: list[str | None]) -> list[np.ndarray]:
         """White space separates words for good, so each distinct word is encoded once per worker."""
-        cut = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        seen = set().union(*cut)
-        new = seen.difference(self.cache)
+        flat = pc.replace_substring(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())), "\n", " ")
+        cut = pc.split_pattern(flat, " ")
+        coded = cut.flatten().dictionary_encode()
+        seen, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = set(seen).difference(self.cache)
         if len(self.cache) + len(new) > self.limit:
             self.cache.clear()
             new = seen
         if new:
             self._learn(list(new))
-        # a small table for these texts: most words come again at once
-        get = dict(zip(seen, map(self.cache.__getitem__, seen))).__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), self.dtype) for c in cut]
+        raw = list(map(self.cache.__getitem__, seen))
+        ids, sizes = np.frombuffer(b"".join(raw), self.dtype), np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        # the ids of the words in their order in the texts: from each word's first id on
+        size = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], size) + np.arange(ends[-1])
+        return np.split(ids[at], ends[cut.offsets.to_numpy()[1:-1]])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (None: no ids), in ``dtype``."""
         if self.words is not None:
-            return [x for i in range(0, len(texts), 256) for x in self._encode_words(texts[i : i + 256])]
+            return [x for i in range(0, len(texts), 1024) for x in self._encode_words(texts[i : i + 1024])]
         return [self._encode_bytes(t) for t in texts]
 
     def _encode_bytes(self, text: str | None) -> np.ndarray:

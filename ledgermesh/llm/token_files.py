@@ -116,8 +116,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
             return row
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 2048):
+                some = batch.slice(i, 2048)
                 for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                     names.append(doc)
                     held.append(np.concatenate([ids, end]))

@@ -83,16 +83,30 @@ class TextEncoder:
         if self.words is not None:
             text = text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)
             text = self.words.sub(r"\g<0>" + _END, text)
+        return self._merged(text)
+
+    def _merged(self, text: str) -> np.ndarray:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words with a mark after each; plain ASCII apart, as it needs no normalisation."""
-        odd = [w for w in new if _END in w or _MARK in w or any(a in w for a in self.added)]
-        new = list(set(new).difference(odd)) if odd else new
-        self.cache.update((w, self._library(w).tobytes()) for w in odd)
+        """Encode words with a mark after each; what is ASCII apart, as it needs no normalisation, and letters alone need no split."""
+        joined = "\n".join(new)
+        if any(a in joined for a in (_END, _MARK, *self.added)):
+            odd = [w for w in new if _END in w or _MARK in w or any(a in w for a in self.added)]
+            new = list(set(new).difference(odd))
+            self.cache.update((w, self._library(w).tobytes()) for w in odd)
         size = self.dtype.itemsize
-        for part in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
-            ids = self._ranked(f" {_MARK} ".join([*part, ""]))
+        ascii_, other = [], []
+        for w in new:
+            (ascii_ if w.isascii() else other).append(w)
+        letters, mixed = [], []
+        for w in ascii_:
+            (letters if w.isalpha() else mixed).append(w)
+        for part in (letters, mixed, other):
+            if part is letters:
+                ids = self._merged(f"{_END} {_MARK}{_END} ".join([*part, ""]).lower())
+            else:
+                ids = self._ranked(f" {_MARK} ".join([*part, ""]))
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part):
                 self.cache.update((w, self._library(w).tobytes()) for w in part)
@@ -106,25 +120,24 @@ class TextEncoder:
         flat = pc.replace_substring(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())), "\n", " ")
         cut = pc.split_pattern(flat, " ")
         coded = cut.flatten().dictionary_encode()
-        seen, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        seen = coded.dictionary.to_pylist()
         new = set(seen).difference(self.cache)
         if len(self.cache) + len(new) > self.limit:
             self.cache.clear()
             new = seen
         if new:
             self._learn(list(new))
-        raw = list(map(self.cache.__getitem__, seen))
-        ids, sizes = np.frombuffer(b"".join(raw), self.dtype), np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
-        # the ids of the words in their order in the texts: from each word's first id on
-        size = sizes[code]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], size) + np.arange(ends[-1])
-        return np.split(ids[at], ends[cut.offsets.to_numpy()[1:-1]])
+        # the ids of the words in their order in the texts, as one run of bytes
+        words = pa.array(list(map(self.cache.__getitem__, seen)), pa.large_binary()).take(coded.indices)
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(words) + 1) // self.dtype.itemsize
+        ids = np.frombuffer(data, self.dtype, int(ends[-1])) if ends[-1] else np.zeros(0, self.dtype)
+        return np.split(ids, ends[cut.offsets.to_numpy()[1:-1]])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (None: no ids), in ``dtype``."""
         if self.words is not None:
-            return [x for i in range(0, len(texts), 1024) for x in self._encode_words(texts[i : i + 1024])]
+            return [x for i in range(0, len(texts), 2048) for x in self._encode_words(texts[i : i + 2048])]
         return [self._encode_bytes(t) for t in texts]
 
     def _encode_bytes(self, text: str | None) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .axis import aligned
@@ -37,8 +37,13 @@ CONTROLS = {
 YEARLY = ("pnl.revenue", "pnl.ebitda", "pnl.net_income", "cf.fcf", "cf.cfo", "pnl.cogs", "bs.accounts_receivable", "bs.inventory", "bs.accounts_payable", "bs.debt", "bs.cash", "pnl.interest", "cf.dividends", "cf.drawdown", "cf.repayment", "cov.dscr", "covenant.headroom", "fx.rate")
 MONTHLY = ("bs.cash", "cf.repayment", "cf.drawdown")
 
-_slots = Window.partitionBy("book").orderBy("period_key")
-_before = _slots.rowsBetween(Window.unboundedPreceding, -1)
+
+def _slots() -> WindowSpec:
+    return Window.partitionBy("book").orderBy("period_key")
+
+
+def _before() -> WindowSpec:
+    return _slots().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _first(hit: Column, metric: Column) -> Column:
@@ -47,20 +52,20 @@ def _first(hit: Column, metric: Column) -> Column:
 
 
 def _last_known(c: Column) -> Column:
-    return F.last(c, ignorenulls=True).over(_before)
+    return F.last(c, ignorenulls=True).over(_before())
 
 
 def yearly_flags(yearly: DataFrame) -> DataFrame:
     """book and a struct (period_key, metric) for each control, null where it isn't flagged."""
     w = aligned(yearly, list(YEARLY))
     r, e = F.col("pnl_revenue"), F.col("pnl_ebitda")
-    forecast, lag = F.col("role") == "forecast", lambda c: F.lag(c).over(_slots)
+    forecast, lag = F.col("role") == "forecast", lambda c: F.lag(c).over(_slots())
     w = w.withColumn("prev_role", lag("role")).withColumn("yoy", F.try_divide(r, lag("pnl_revenue")) - 1)
     w = w.withColumn("prev_yoy", _last_known(F.col("yoy"))).withColumn("e0", lag("pnl_ebitda")).withColumn("m", F.try_divide(e, r))
     w = w.withColumn("m0", lag("m")).withColumn("e_yoy", F.when(F.col("e0") != 0, e / F.col("e0") - 1))
     for days, stock, flow in (("dso", "bs_accounts_receivable", r), ("dio", "bs_inventory", F.col("pnl_cogs")), ("dpo", "bs_accounts_payable", F.col("pnl_cogs"))):
         w = w.withColumn(days, F.try_divide(F.col(stock), flow) * 365)
-        w = w.withColumn(f"{days}_lift", F.col(days) - F.last(F.when(F.col("role") == "historical", F.col(days)), ignorenulls=True).over(_before))
+        w = w.withColumn(f"{days}_lift", F.col(days) - F.last(F.when(F.col("role") == "historical", F.col(days)), ignorenulls=True).over(_before()))
     w = w.withColumn("ar_up", F.col("bs_accounts_receivable") - lag("bs_accounts_receivable")).withColumn("r_up", r - lag("pnl_revenue"))
     w = w.withColumn("leverage", F.when(e > 0, (F.col("bs_debt") - F.coalesce("bs_cash", F.lit(0.0))) / e)).withColumn("leverage0", _last_known(F.col("leverage")))
     w = w.withColumn("icr", F.try_divide(e, F.abs("pnl_interest"))).withColumn("fcf0", lag("cf_fcf")).withColumn("cfo0", lag("cf_cfo"))
@@ -113,7 +118,7 @@ def yearly_flags(yearly: DataFrame) -> DataFrame:
 def monthly_flags(monthly: DataFrame) -> DataFrame:
     """book, F08 (first month without cash, months before it) and F09 (year of the greatest repayments, its share)."""
     w = aligned(monthly, list(MONTHLY))
-    w = w.withColumn("nth", F.count("bs_cash").over(_before))
+    w = w.withColumn("nth", F.count("bs_cash").over(_before()))
     pay = F.when((F.col("role") == "forecast") & (F.col("cf_repayment") > 0), F.col("cf_repayment"))
     years = w.groupBy("book", F.col("period_key").substr(1, 4).alias("year")).agg(
         F.sum(pay).alias("paid"), F.min(F.when(F.col("bs_cash") < 0, F.struct("period_key", F.col("nth").cast("double").alias("metric")))).alias("dry"),

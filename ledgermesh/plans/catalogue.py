@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import a1, dates, labels, numeric, periods
-from ..operators import detectors, frs, graph, identities, mapping, rollup, series
+from ..operators import detectors, frs, graph, identities, lineage, mapping, rollup, series
 from . import statements as st
 
 QUERIES: dict = {}
@@ -326,6 +326,24 @@ def reach_reverse_multi(spark, sf_dir):
     return graph.reverse_reach(_edges(spark, sf_dir), starts.withColumn("node", F.col("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'orders!A' || (o_orderkey + 1) AS src, 'customer!A' || (o_custkey + 1) AS dst FROM orders UNION ALL SELECT 'customer!A' || (c_custkey + 1), 'nation!A' || (c_nationkey + 1) FROM customer),
+    r AS (SELECT n_nationkey AS candidate, 'nation!A' || (n_nationkey + 1) AS ref FROM nation UNION SELECT r.candidate, e.src FROM r JOIN e ON e.dst = r.ref),
+    p AS (SELECT r.candidate, r.ref, o_orderpriority AS concept FROM r LEFT JOIN orders ON ref = 'orders!A' || (o_orderkey + 1) AND o_orderstatus = 'F')
+    SELECT candidate, count(*) AS n_path, count(concept) AS n_outputs, coalesce(string_agg(DISTINCT concept, ',' ORDER BY concept), '') AS affected_metrics,
+           CASE WHEN candidate % 2 = 0 THEN 'numeric' ELSE 'direction' END AS impact_kind, bool_or(ref LIKE 'customer!A%7') AS truncated FROM p GROUP BY candidate""")
+def lineage_outputs(spark, sf_dir):
+    """Nations are the findings, their customers and orders depend on them; finished orders are output rows; sheet rows count from 1."""
+    o, c, n = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    cell = lambda sheet, row: F.concat(F.lit(f"{sheet}!A"), row.cast("string"))
+    edges = o.select(cell("orders", o["o_orderkey"] + 1).alias("src"), cell("customer", o["o_custkey"] + 1).alias("dst"))
+    edges = edges.unionByName(c.select(cell("customer", c["c_custkey"] + 1).alias("src"), cell("nation", c["c_nationkey"] + 1).alias("dst")))
+    rows = o.select(F.lit("orders").alias("sheet"), (F.col("o_orderkey") + 1).alias("row"), F.col("o_orderpriority").alias("concept_id"), F.when(F.col("o_orderstatus") == "F", "output").otherwise("calculation").alias("article_role"))
+    found = n.select(F.col("n_nationkey").alias("candidate"), F.array(cell("nation", n["n_nationkey"] + 1)).alias("cell_refs"), F.when(F.expr("n_nationkey % 2 = 0"), F.col("n_nationkey").cast("double")).alias("delta"))
+    cut = edges.select("src").where("src like 'customer!A%7'")
+    out = lineage.trace_lineage(found, edges, rows, cut)
+    return out.select("candidate", "n_path", "n_outputs", F.array_join("affected_metrics", ",").alias("affected_metrics"), "impact_kind", "truncated")
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, CASE p_partkey % 10 WHEN 9 THEN p_partkey - 3 WHEN 5 THEN p_partkey - 5 ELSE p_partkey + 1 END AS dst FROM part), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
     SELECT a.src AS node, min(b.src) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""")
 def scc_groups(spark, sf_dir):

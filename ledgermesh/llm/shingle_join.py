@@ -9,11 +9,12 @@
    together, and sets with equal prefixes and sizes form one group.
 3. Groups that share a prefix shingle are filtered by size and by what their
    positions leave possible, then expanded to their members and verified on
-   whole sets.  Groups first meet the least group of a shingle only, then in
+   whole sets.  The members of a group meet its least one.  Groups first meet
+   the least group of a shingle only, then in
    ``rounds`` turns another node of a shingle that still has several components,
    one try for each: their number is linear.  Then all pairs of a shingle that
-   lie in different components are verified.  Pairs inside a component can't
-   change it, so no link is lost between components.
+   lie in different components are verified, also those of one group.  Pairs
+   inside a component can't change it, so no link is lost between components.
 
 Null text counts as empty; an empty document is linked with nothing.  Rows that
 repeat a doc_id get the component of the one with the least set hash; a row
@@ -203,7 +204,9 @@ def near_duplicates(docs: DataFrame, frequent: int = 200_000, rounds: int = 1, i
     key = ["doc_id", "group_key"]
     others = written(full.select(*key).distinct().join(groups.withColumnRenamed("gid", "doc_id"), key, "left_anti"), "join-others")
     spots = ids_only(full, others, key, "left_anti").select(F.col("doc_id").alias("gid"), F.posexplode("prefix").alias("pos", "token"))
-    met = spots.groupBy("token").agg(F.min("gid").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "pivot")
+    # a shingle stays if several nodes may share it, be they of one group: the other members of a group have met its least one only
+    plural = members.where("id <> gid").select("gid", F.lit(True).alias("plural")).distinct()
+    met = ids_only(spots, plural, "gid", "left").groupBy("token").agg(F.min("gid").alias("pivot"), (F.count(F.lit(1)) + F.count("plural")).alias("k")).where("k > 1").select("token", "pivot")
     met = written(met, "join-met")
     with_pivot = written(spots.join(met, "token"), "join-met-spots")
     sizes = members.where("id = gid").select("gid", "n")

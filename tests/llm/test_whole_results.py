@@ -1,0 +1,43 @@
+"""Brute-force checks of results that a cut in an operator would lose."""
+
+import random
+from collections import defaultdict
+
+from ledgermesh.llm.shingle_join import near_duplicates
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def linked(sets):
+    """The least id of each one's component; sets: id -> shingles."""
+    of, least = defaultdict(set), {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            of[x].add(i)
+    links = {(a, b) for ids in of.values() for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    while True:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+def test_links_inside_a_prefix_group_that_no_other_group_meets(spark):
+    rng = random.Random(7)
+    texts = []
+    for chain in range(400):
+        # texts of one length that slide over a chain of words, so that the ends are linked through the middle only
+        n, steps = rng.randint(10, 24), rng.randint(3, 5)
+        words = [f"c{chain}w{k}" for k in range(n + steps)]
+        texts += [" ".join(words[k : k + n]) for k in range(steps + 1)]
+        # w1..w11, w1..w10 x, w2..w10 x z
+        w = [f"d{chain}w{k}" for k in range(1, 12)]
+        texts += [" ".join(w), " ".join([*w[:10], "x"]), " ".join([*w[1:10], "x", "z"])]
+    rng.shuffle(texts)
+    want = linked({i: shingles(t) for i, t in enumerate(texts)})
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want

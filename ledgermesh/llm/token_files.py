@@ -6,6 +6,8 @@ length of the low part and of the high part in bytes (u8 each), the low bits of
 the n + 1 boundaries packed most significant bit first, their high bits in
 unary, one u4 of select directory for each ``SAMPLE`` boundaries, and the ids.
 Boundaries take about l + 2 bits each; no 64-bit table of them is stored.
+``read_token_files`` needs every boundary and decodes those of an image in bulk;
+``EliasFano.select`` finds a single one through the directory.
 
 Documents are range-partitioned by doc_id, so images in (part, seq) order hold
 ascending doc_ids (null first).  Each image is a row of a Parquet table in a

@@ -27,9 +27,10 @@ class TextEncoder:
 
     Merging is done by tiktoken, which merges by the rank of the joined bytes.
     A vocabulary with word ends is expressed there with one more byte behind
-    each word, which its first ranks join to the last character.  What holds that
-    byte or the string of an added token, and every text of a tokenizer of
-    another kind, goes through the tokenizers library itself.
+    each word, which its first ranks join to the last character.  A word that
+    holds that byte, a text that holds the string of an added token (in any case,
+    where words are lowered), and every text of a tokenizer of another kind go
+    through the tokenizers library itself.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -42,6 +43,7 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added_lower = pc.ascii_lower(pa.array(self.added, pa.string())).to_pylist()
         self.fast, self.words = self._ranks(spec)
         self.limit, self.cache = limit, {}
         if self.words is not None:
@@ -117,7 +119,15 @@ class TextEncoder:
 
     def _encode_words(self, texts: list[str | None]) -> list[np.ndarray]:
         """White space separates words for good, so each distinct word is encoded once per worker."""
-        flat = pc.replace_substring(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())), "\n", " ")
+        flat = pc.ascii_lower(pa.array([t or "" for t in texts], pa.string()))
+        # an added token counts in its own case only, which lowering hides: such texts go whole to the library
+        whole: set[int] = set()
+        for a in self.added_lower:
+            whole.update(np.flatnonzero(pc.match_substring(flat, a).to_numpy(zero_copy_only=False)).tolist())
+        if whole:
+            rest = self._encode_words(["" if i in whole else t for i, t in enumerate(texts)])
+            return [self._library(texts[i]) if i in whole else x for i, x in enumerate(rest)]
+        flat = pc.replace_substring(flat, "\n", " ")
         cut = pc.split_pattern(flat, " ")
         coded = cut.flatten().dictionary_encode()
         seen = coded.dictionary.to_pylist()

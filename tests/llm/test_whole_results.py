@@ -3,7 +3,12 @@
 import random
 from collections import defaultdict
 
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
 from ledgermesh.llm.shingle_join import near_duplicates
+from ledgermesh.llm.tokens import TextEncoder
 
 
 def shingles(text):
@@ -41,3 +46,12 @@ def test_links_inside_a_prefix_group_that_no_other_group_meets(spark):
     want = linked({i: shingles(t) for i, t in enumerate(texts)})
     got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_in_another_case(name):
+    path = public_tokenizers.path(name)
+    tok, marks = Tokenizer.from_file(path), ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|StartOfText|>", "<|startoftext|>"]
+    texts = [*marks, "Plain Text", "", None, *(f"Some {m} words{m}\n é {m}X" for m in marks), " ".join(marks), "<|STARTOFTEXT|><|startoftext|> ÉTÉ"]
+    got = TextEncoder(path).encode(texts)
+    assert [x.tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]

@@ -1,14 +1,15 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by content-defined segments and window hashes.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts
 anywhere else in the corpus, in the same document or another; strings may
 overlap and never cross documents.
 
-Prefix doubling ranks the suffix at every position by its first k characters,
-then pairs (rank of p, rank of p + k) give the ranks for 2 k; positions whose
-rank is unique drop out, and past ``length`` what is left repeats.  To sort all
-positions of a corpus round after round would move many times its size, so the
-first ranks are those of content-chosen positions:
+This replaces prefix doubling, which ranks the suffix at every position by its
+first k characters and pairs (rank of p, rank of p + k) for the ranks for 2 k.
+No step here sorts or joins such pairs, and no rank is fed into a next doubling:
+to sort all positions of a corpus round after round would move many times its
+size.  (That is reckoned; no figures of a real doubling are on record.)  What is
+kept of it is that positions whose rank is unique drop out:
 
 1. Every window of ``length`` bytes is ranked by the least hash of its
    ``GRAM``-byte strings.  Neighbouring windows mostly share that string: a
@@ -23,10 +24,9 @@ first ranks are those of content-chosen positions:
    What all windows of a run share, ``length - STEP + 1`` bytes or more, ranks
    the run: unique ones drop out.  A run whose whole content is not unique is
    settled.
-4. The other runs, which lie where repeats end, are ranked window by window: the
-   pair of the rank of the first half at p and of the second half at
-   p + length / 2 doubles the length to ``length``; windows whose pair is not
-   unique repeat.
+4. The other runs, which lie where repeats end, are ranked window by window: one
+   hash joins those of the window's two halves, made in one task; windows whose
+   hash is not unique repeat.
 
 Ranks are 64-bit hashes of contents rather than dense numbers: they need no
 global sort, and equal contents meet by a shuffle in which partial counts are

@@ -3,8 +3,9 @@
 All of it is built-in column functions over one row at a time: no shuffle, no Python.
 
 The battery looks at runs of 20 or more characters that an encoding could have
-made: hex (0-9a-f or 0-9A-F), base32 (A-Z2-7) or base64 (letters, digits and the
-marks of either alphabet); the narrowest that fits is inferred.  For a uniform
+made: hex (0-9a-f or 0-9A-F), base32 (A-Z2-7 or a-z2-7), base36 (0-9A-Z or
+0-9a-z) or base64 (letters, digits and the marks of either alphabet); the
+narrowest that fits is inferred.  For a uniform
 random string of n characters over an alphabet of A, with n_c of each,
 
 * chi-squared uniformity: A / n * sum(n_c ** 2) - n has mean A - 1 and variance 2 (A - 1) (n - 1) / n;
@@ -67,6 +68,7 @@ def _upper_p(z: Column) -> Column:
 #: The alphabets in the order of their values (fixed values).
 HEX_ALPHABET = "0123456789abcdef"
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -75,10 +77,10 @@ def battery(spans: Column) -> Column:
 
     def inferred(x: Column) -> Column:
         t = x["text"]
-        hexed, base32 = t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), t.rlike("^[A-Z2-7]+$")
-        letters = F.when(hexed, HEX_ALPHABET).when(base32, BASE32_ALPHABET).otherwise(BASE64_ALPHABET)
-        folded = F.when(hexed, F.lower(t)).otherwise(F.translate(t, "-_", "+/"))
-        shaped = t.rlike("[0-9]") & (hexed | base32 | (t.rlike("[a-z]") & t.rlike("[A-Z]")))
+        hexed, base32, base36 = t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), t.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), t.rlike("^([0-9A-Z]+|[0-9a-z]+)$")
+        letters = F.when(hexed, HEX_ALPHABET).when(base32, BASE32_ALPHABET).when(base36, BASE36_ALPHABET).otherwise(BASE64_ALPHABET)
+        folded = F.when(hexed, F.lower(t)).when(base32 | base36, F.upper(t)).otherwise(F.translate(t, "-_", "+/"))
+        shaped = t.rlike("[0-9]") & (base32 | base36 | (t.rlike("[a-z]") & t.rlike("[A-Z]")))
         prose = F.when(hexed, HEX_PROSE_BITS).otherwise(PROSE_BITS)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), shaped.alias("shaped"), folded.alias("t"), letters.alias("letters"), prose.alias("prose"))
 

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from ledgermesh.llm.secret_scan import scan_secrets
 from ledgermesh.llm.shingle_join import near_duplicates
 from ledgermesh.llm.tokens import TextEncoder
 
@@ -55,3 +56,15 @@ def test_added_tokens_in_another_case(name):
     texts = [*marks, "Plain Text", "", None, *(f"Some {m} words{m}\n é {m}X" for m in marks), " ".join(marks), "<|STARTOFTEXT|><|startoftext|> ÉTÉ"]
     got = TextEncoder(path).encode(texts)
     assert [x.tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_random_tokens_of_one_case(spark):
+    rng = random.Random(2)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower + digits, upper + digits, lower + "234567"]
+    rows = [(100 * k + i, "the key " + "".join(rng.choice(a) for _ in range(60)) + " ends") for k, a in enumerate(alphabets) for i in range(50)]
+    rows += [(1000 + i, "internationalisationreport2024 INTERNATIONALISATIONREPORT1989 abcabcabcabcabcabcabc189 aaaaaaaaaaaaaaaaaaaaaaaa1") for i in range(5)]
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for k in range(len(alphabets)):
+        assert sum(r["n_random"] == 1 for r in got if r["doc_id"] // 100 == k) >= 45, k
+    assert all(r["n_random"] == 0 for r in got if r["doc_id"] >= 1000)

@@ -9,7 +9,7 @@ repeated rows and empty tables have the results that the operators define.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import WS, ids_only, table, written
@@ -24,11 +24,17 @@ from ledgermesh.llm.shingle_join import near_duplicates
 LEAST_SCORE = 0.25
 
 
+def row_key() -> Column:
+    """Names a row by its id and text: rows may share an id but not the text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or without a language that has LEAST_SCORE of them, go."""
-    found = identify(docs, train(docs))
-    gone = written(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).where("doc_id is not null").select("doc_id").distinct(), "stage-language")
-    return ids_only(docs, gone, "doc_id", "left_anti").where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    keyed = docs.withColumn("_row", row_key())
+    found = identify(keyed, train(docs), id_col="_row")
+    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_row")).distinct()
+    return ids_only(keyed.where("doc_id is not null"), written(gone, "stage-language"), "_row", "left_anti").unionByName(keyed.where("doc_id is null")).drop("_row").where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +52,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    gone = written(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct(), "stage-near")
-    return ids_only(docs, gone, "doc_id", "left_anti")
+    """Of each group of linked documents the one with the smallest doc_id stays; rows of one doc_id and several texts are documents each."""
+    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), row_key()))
+    near = written(near_duplicates(keyed, id_col="_row").where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id").distinct(), "stage-near-rows")
+    both = near.join(keyed.select("_row", "doc_id"), "_row")
+    first = both.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("first"))
+    gone = written(near.select("_row").join(first.select(F.col("first").alias("_row")), "_row", "left_anti"), "stage-near")
+    return ids_only(keyed, gone, "_row", "left_anti").drop("_row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from ledgermesh.llm.secret_scan import scan_secrets
 from ledgermesh.llm.shingle_join import near_duplicates
 from ledgermesh.llm.tokens import TextEncoder
@@ -68,3 +69,14 @@ def test_random_tokens_of_one_case(spark):
     for k in range(len(alphabets)):
         assert sum(r["n_random"] == 1 for r in got if r["doc_id"] // 100 == k) >= 45, k
     assert all(r["n_random"] == 0 for r in got if r["doc_id"] >= 1000)
+
+
+def test_stages_with_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{k}x" for k in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, "quite another text of few words"), (4, "12 34"), (4, "a clean text in letters"), (None, a)]
+    rows = [(i, t, "en") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [tuple(r) for r in corpus_pipeline.near_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted((r for r in rows if not r[1].endswith("more")), key=str)
+    kept = [tuple(r) for r in corpus_pipeline.language_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted((r for r in rows if r[1] != "12 34"), key=str)

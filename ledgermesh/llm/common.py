@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,16 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder of this machine serves a local master;
+    on a cluster that would lose what other machines write, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _fallback["dir"]
@@ -56,9 +63,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def ids_only(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+def ids_only(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
     """df joined to a table of ids: broadcast behind a count of the ids, else shuffled."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, on, how)
 
 

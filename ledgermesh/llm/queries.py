@@ -25,7 +25,7 @@ BYTE_TOKENIZER = "byte_bpe_50k.json"
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), length=400)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_chars_kept")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 Documents are dealt to partitions by a hash of their id, so each partition
 holds every source.  A partition is cut into segments of about ``segment_ids``
-ids.  In a segment every source has a queue; each window takes from the queue
-with the largest deficit (tokens due to it under the target proportions less
-tokens it got), a document or the room that is left at a time.  Deficits carry
-from window to window; what a segment starts with follows from the totals of
-the segments before it, across partitions, by prefix sums.  The target
-proportions are those of the whole corpus, since every id is packed once.
-Only the last window of a segment is padded.
+ids.  In a segment every source has a queue.  Each window adds a quantum to the
+deficit of each source, its target proportion of the window, and takes from
+each queue what its deficit allows, cutting documents at the quantum; room that
+is left, because a queue has run out or by rounding, goes to the queues with the
+largest deficits.  Deficits carry from window to window; what a segment starts
+with follows from the totals of the segments before it, across partitions, by
+prefix sums.  So a window misses its proportions only where a segment has less
+of a source than its target.  ``targets`` gives weights of sources; without it
+the target proportions are those of the whole corpus, since every id is packed
+once.  A source that ``targets`` doesn't name has no quantum and fills what room
+is left.  Only the last window of a segment is padded.
 
 Null texts count as empty; an empty text has its end id alone; null is a source
 of its own; rows that repeat a doc_id are packed each.  Other columns are not read.
@@ -17,7 +21,6 @@ of its own; rows that repeat a doc_id are packed each.  Other columns are not re
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,40 +34,50 @@ SEGMENTS = "part int, seq int, doc_ids array<long>, sources array<string>, sizes
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def fill_windows(docs: list[tuple[int, object, int]], due: dict, share: dict, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Deficit round-robin: yields (document index, start, length, window number, offset).
+def takes(have: np.ndarray, due: np.ndarray, share: np.ndarray, window: int) -> np.ndarray:
+    """Ids that each window takes from each queue (windows x sources).
 
-    docs: (index, source, size); due: tokens owed to each source before the
-    first window; share: its target proportion.
+    have: ids of each queue; due: ids owed to each before the first window;
+    share: target proportions.
     """
-    queues: dict = {}
-    for i, source, size in docs:
-        queues.setdefault(source, deque()).append([i, 0, size])
-    names = list(queues)
-    deficit = np.array([due.get(s, 0.0) for s in names])
-    quantum = np.array([share.get(s, 0.0) for s in names]) * window
-    number, room = 0, window
-    deficit += quantum
-    while names:
-        k = int(np.argmax(deficit))
-        queue = queues[names[k]]
-        head = queue[0]
-        take = min(room, head[2] - head[1])
-        yield head[0], head[1], take, number, window - room
-        head[1] += take
-        room -= take
-        deficit[k] -= take
-        if head[1] == head[2]:
-            queue.popleft()
-            if not queue:
-                del names[k]
-                deficit, quantum = np.delete(deficit, k), np.delete(quantum, k)
-        if room == 0:
-            number, room = number + 1, window
-            deficit += quantum
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, segment_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    left, deficit, out = have.astype(np.int64), due.astype(float), []
+    quantum, total = share * window, int(have.sum())
+    while total:
+        room = min(window, total)
+        deficit = deficit + quantum
+        take = np.clip(np.floor(deficit), 0, left).astype(np.int64)
+        order = np.argsort(-deficit, kind="stable")
+        # the largest deficits go first where all together are more than the room
+        take[order] = np.diff(np.minimum(np.cumsum(take[order]), room), prepend=0)
+        rest = room - int(take.sum())
+        if rest:
+            order = np.argsort(-(deficit - take), kind="stable")
+            more = (left - take)[order]
+            take[order] += np.diff(np.minimum(np.cumsum(more), rest), prepend=0)
+        left -= take
+        deficit -= take
+        total -= room
+        out.append(take)
+    return np.array(out, np.int64).reshape(-1, len(have))
+
+
+def fill_windows(queue: np.ndarray, sizes: np.ndarray, due: np.ndarray, share: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Document index, start, length, window number and offset of each piece; queue: the number of each document's queue."""
+    taken = takes(np.bincount(queue, sizes, len(share)).astype(np.int64), due, share, window)
+    base = np.cumsum(taken, axis=1) - taken
+    parts = []
+    for k in np.unique(queue):
+        docs = np.flatnonzero(queue == k)
+        doc_end, take_end = np.cumsum(sizes[docs]), np.cumsum(taken[:, k])
+        end = np.union1d(doc_end, take_end)
+        end = end[end > 0]
+        start = np.concatenate([[0], end[:-1]])
+        doc, number = np.searchsorted(doc_end, start, side="right"), np.searchsorted(take_end, start, side="right")
+        parts.append((docs[doc], start - (doc_end - sizes[docs])[doc], end - start, number, base[number, k] + start - (take_end - taken[:, k])[number]))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, segment_ids: int = 2_000_000, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pack whole documents into sequences of at most ``window`` tokens; one row per piece."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,26 +112,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, segme
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at = np.concatenate([[0], np.cumsum(row["sizes"])]).tolist()
+                sizes, names = np.array(row["sizes"], np.int64), [c["source"] for c in row["carry"]]
+                number = {n: i for i, n in enumerate(names)}
+                queue = np.array([number[n] for n in row["sources"]])
                 ids = np.frombuffer(row["image"], f"<u{row['width']}").astype("<u4").data.cast("B")
-                due = {c["source"]: c["due"] for c in row["carry"]}
-                share = {c["source"]: c["share"] for c in row["carry"]}
-                out = []
-                for i, start, length, number, offset in fill_windows(list(zip(range(len(at)), row["sources"], row["sizes"])), due, share, window):
-                    a = at[i] + start
-                    out.append((row["doc_ids"][i], start, length, zlib.crc32(ids[4 * a : 4 * (a + length)]), row["sizes"][i], row["first_sequence"] + number, offset, row["sources"][i]))
-                types = [pa.int64()] * 7 + [pa.string()]
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types)]
+                due, share = (np.array([c[k] for c in row["carry"]], float) for k in ("due", "share"))
+                doc, start, length, window_no, offset = fill_windows(queue, sizes, due, share, window)
+                first = (np.cumsum(sizes) - sizes)[doc] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip((4 * first).tolist(), (4 * (first + length)).tolist())]
+                doc_id = pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc))
+                source = pa.array(names, pa.string()).take(pa.array(queue[doc]))
+                cols = [doc_id, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(row["first_sequence"] + window_no), pa.array(offset), source]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).repartition("doc_id")
     held = written(dealt.mapInArrow(segments, SEGMENTS), "packing")
-    carry = written(_carry(held, window), "packing-carry")
+    carry = written(_carry(held, window, targets), "packing-carry")
     small = carry.agg(F.coalesce(F.sum(F.size("carry")), F.lit(0))).first()[0] <= BROADCAST_IDS
     return held.join(F.broadcast(carry) if small else carry, ["part", "seq"]).mapInArrow(pieces, PIECES)
 
 
-def _carry(held: DataFrame, window: int) -> DataFrame:
+def _carry(held: DataFrame, window: int, targets: dict[str | None, float] | None) -> DataFrame:
     """For each segment: its first sequence number, and each of its sources' share and tokens due at its start."""
     one = held.select("part", "seq", F.explode(F.arrays_zip("sources", "sizes")).alias("d"))
     got = one.groupBy("part", "seq", F.col("d.sources").alias("source")).agg(F.sum("d.sizes").alias("n"))
@@ -138,8 +152,14 @@ def _carry(held: DataFrame, window: int) -> DataFrame:
     own = got.select("part", "seq", "source", zero(F.sum("n").over(Window.partitionBy("part", "source").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).alias("s1"))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     own = own.alias("a").join(of_part.alias("b"), (F.col("a.part") == F.col("b.part")) & same).select("a.part", "a.seq", "a.source", (F.col("s0") + F.col("s1")).alias("got_before"))
-    whole = got.groupBy("source").agg(F.sum("n").alias("n")).crossJoin(got.agg(F.sum("n").alias("all")))
-    whole = whole.select("source", (F.col("n") / F.col("all")).alias("share"))
+    whole = got.groupBy("source").agg(F.sum("n").alias("n"))
+    if targets is not None:
+        weight = F.lit(0.0)
+        for source, w in targets.items():
+            weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(w))).otherwise(weight)
+        whole = whole.withColumn("n", weight)
+    # one row meets the sources
+    whole = whole.crossJoin(whole.agg(F.sum("n").alias("all"))).select("source", F.coalesce(F.try_divide("n", "all"), F.lit(0.0)).cast("double").alias("share"))
     own = own.alias("a").join(whole.alias("b"), same).select("part", "seq", "a.source", "share", "got_before").join(seg, ["part", "seq"])
     due = F.col("share") * F.col("all_before") - F.col("got_before")
     return own.groupBy("part", "seq").agg(F.first("first_sequence").alias("first_sequence"), F.collect_list(F.struct("source", "share", due.alias("due"))).alias("carry"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgermesh.llm.common import WS, ids_only, table, written
 from ledgermesh.llm.exact_dedup import exact_dedup
 from ledgermesh.llm.language_id import identify, train
-from ledgermesh.llm.mixing import mix, words
+from ledgermesh.llm.mixing import mix
 from ledgermesh.llm.packing import pack
 from ledgermesh.llm.queries import BYTE_TOKENIZER
 from ledgermesh.llm.shingle_join import near_duplicates
@@ -25,8 +25,14 @@ LEAST_SCORE = 0.25
 
 
 def row_key() -> Column:
-    """Names a row by its id and text: rows may share an id but not the text."""
-    return F.xxhash64("doc_id", "text")
+    """Names a row by its id, which may be null, and text: rows may share an id but not the text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def once(keyed: DataFrame, names: list[str]) -> DataFrame:
+    """keyed with one of the rows that agree in names; only rows that repeat are shuffled."""
+    again = written(keyed.groupBy(*names).count().where("count > 1").select(*names), "stage-again")
+    return ids_only(keyed, again, names, "left_anti").unionByName(ids_only(keyed, again, names).dropDuplicates(names))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,40 +40,40 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keyed = docs.withColumn("_row", row_key())
     found = identify(keyed, train(docs), id_col="_row")
     gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_row")).distinct()
-    return ids_only(keyed.where("doc_id is not null"), written(gone, "stage-language"), "_row", "left_anti").unionByName(keyed.where("doc_id is null")).drop("_row").where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return ids_only(keyed, written(gone, "stage-language"), "_row", "left_anti").drop("_row")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    nameless = -(2**63) + 1
-    key = lambda d: F.coalesce(d, F.lit(nameless))
-    verdict = exact_dedup(docs).groupBy(key(F.col("doc_id")).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    verdict = written(verdict.where("not kept or n > 1"), "stage-exact")
+    """Of equal texts the row with the smallest doc_id stays, rows without one last."""
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    names = ["_id", "_none", "_sha"]
+    verdict = exact_dedup(docs).select(*key, F.col("text_sha256").alias("_sha"), "kept").groupBy(*names).agg(F.max("kept").alias("kept"))
+    gone = written(verdict.where("not kept").select(*names), "stage-exact")
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), f"{WS}+", " "), 256)
-    keyed = docs.select("*", key(F.col("doc_id")).alias("_id"), sha.alias("_sha"))
-    names = ["_id", "_sha"]
-    whole = ids_only(keyed, verdict.select(*names), names, "left_anti")
-    again = ids_only(keyed, verdict.where("kept").select(*names), names).dropDuplicates(names)
-    return whole.unionByName(again).drop(*names)
+    keyed = written(docs.select("*", *key, sha.alias("_sha")), "stage-keyed")
+    return once(ids_only(keyed, gone, names, "left_anti"), names).drop(*names)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows of one doc_id and several texts are documents each."""
-    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), row_key()))
-    near = written(near_duplicates(keyed, id_col="_row").where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id").distinct(), "stage-near-rows")
+    """Of each group of linked documents the one with the smallest doc_id stays, rows without one last; rows of one doc_id and several texts are documents each."""
+    keyed = docs.withColumn("_row", row_key())
+    near = written(near_duplicates(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct(), "stage-near-rows")
     both = near.join(keyed.select("_row", "doc_id"), "_row")
-    first = both.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("first"))
+    first = both.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("first"))
     gone = written(near.select("_row").join(first.select(F.col("first").alias("_row")), "_row", "left_anti"), "stage-near")
-    return ids_only(keyed, gone, "_row", "left_anti").drop("_row")
+    return once(ids_only(keyed, gone, "_row", "left_anti"), ["_row"]).drop("_row")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mix takes it; documents it does not take, and those without words, go."""
-    nameless = -(2**63) + 1
-    m = mix(docs).where("taken > 0").groupBy(F.coalesce("doc_id", F.lit(nameless)).alias("_id"), F.col("size").alias("_size")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    m = written(m, "stage-mixing")
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(nameless)).alias("_id"), words(F.col("text")).alias("_size"))
-    out = keyed.join(m, ["_id", "_size"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """A document comes as often as the mix takes it; documents it does not take, and those without words, go.
+
+    Rows equal in id and text share what the mix takes of them evenly, rounded.
+    """
+    keyed = docs.withColumn("_row", row_key())
+    taken = mix(keyed, id_col="_row").where("taken > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum(F.col("taken") / F.col("size")).alias("n"))
+    rows = keyed.groupBy("_row").count()
+    copies = written(taken.join(rows, "_row").select("_row", F.round(F.col("n") / F.col("count")).cast("int").alias("_copies")).where("_copies > 0"), "stage-mixing")
+    out = ids_only(keyed, copies, "_row", "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*docs.columns)
 
 

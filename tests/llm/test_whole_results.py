@@ -1,13 +1,16 @@
 """Brute-force checks of results that a cut in an operator would lose."""
 
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from ledgermesh.llm.packing import pack, takes
 from ledgermesh.llm.secret_scan import scan_secrets
 from ledgermesh.llm.shingle_join import near_duplicates
 from ledgermesh.llm.tokens import TextEncoder
@@ -50,6 +53,29 @@ def test_links_inside_a_prefix_group_that_no_other_group_meets(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("frequent", [200_000, 0])
+def test_links_of_near_copies_around_the_threshold(spark, frequent):
+    """Copies that link with some others only, a passage and a line that very many texts share, and groups of equal prefixes with several components."""
+    rng = random.Random(11)
+    texts = []
+    for base in range(6):
+        words = [f"b{base}w{k}" for k in range(rng.choice([30, 60, 90]))]
+        for _ in range(60):
+            copy = list(words)
+            for k in rng.sample(range(len(copy)), rng.randint(0, 3)):
+                copy[k] = f"e{rng.randint(0, 3)}"
+            texts.append(" ".join(copy[: rng.randint(len(copy) - 6, len(copy))]))
+    passage, line = [f"p{k}" for k in range(34)], [f"l{k}" for k in range(9)]
+    for i in range(150):
+        own = [f"t{i}k{k}" for k in range(rng.randint(1, 14))]
+        texts += [" ".join(own + passage), " ".join(own[:3] + line), " ".join(passage[rng.randint(0, 9) :] + own[:4])]
+    rng.shuffle(texts)
+    want = linked({i: shingles(t) for i, t in enumerate(texts)})
+    assert len(set(want.values())) > 100
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), frequent=frequent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_added_tokens_in_another_case(name):
     path = public_tokenizers.path(name)
@@ -80,3 +106,84 @@ def test_stages_with_rows_that_share_an_id(spark):
     assert sorted(kept, key=str) == sorted((r for r in rows if not r[1].endswith("more")), key=str)
     kept = [tuple(r) for r in corpus_pipeline.language_stage(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted((r for r in rows if r[1] != "12 34"), key=str)
+
+
+def test_windows_hold_the_target_proportions():
+    rng = np.random.default_rng(4)
+    share = np.array([0.36, 0.2, 0.14, 0.1, 0.08, 0.06, 0.04, 0.02])
+    have = rng.multinomial(600_000, share)
+    taken = takes(have, np.zeros(8), share, 2048)
+    assert (taken.sum(axis=0) == have).all() and (taken.sum(axis=1)[:-1] == 2048).all()
+    whole = taken[(np.cumsum(taken, axis=0) < have).all(axis=1)]
+    assert len(whole) > 200 and (np.abs(whole / 2048 - share).sum(axis=1) / 2).mean() < 0.01
+    # a deficit that earlier segments left is paid first
+    assert takes(have, np.array([0.0, 0, 0, 0, 0, 0, 0, 500]), share, 2048)[0, 7] >= 500
+
+
+def test_proportions_of_windows_over_a_table(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(1, 300))), f"s{i % 5}" if i % 3 else "big") for i in range(1500)]
+    rows += [(None, "no id", None), (7, "twice", "s1"), (7, "twice", "s1"), (9999, "word " * 20_000, "s2"), (10_000, None, "s0"), (10_001, "", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path, window = public_tokenizers.path("byte_bpe_50k.json"), 512
+    for targets in (None, {"big": 3.0, "s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0, "s4": 1.0}):
+        pieces = pack(docs, path, 1, window, segment_ids=10**6, targets=targets).collect()
+        fill, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+        for r in pieces:
+            fill[r["sequence_id"]][r["source"]] += r["length"]
+            total[r["source"]] += r["length"]
+        goal = {s: n / sum(total.values()) for s, n in total.items()} if targets is None else {s: w / 8 for s, w in targets.items()}
+        left, far = dict(total), []
+        for k in sorted(fill):
+            if all(left[s] > window for s in goal if goal[s] > 0.01):
+                far.append(sum(abs(fill[k][s] / window - goal.get(s, 0)) for s in total) / 2)
+            for s, n in fill[k].items():
+                left[s] -= n
+        assert len(far) > 20 and sum(far) / len(far) < 0.1
+        assert len(fill) <= sum(total.values()) // window + 1 + 4
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """The five stages against brute force, with null ids and texts, repeated rows, rows that share an id, and a clashing column."""
+    rng = random.Random(9)
+    prose = "the of and to in is that with for was on are as by it from at an be this".split()
+    fresh = lambda k: " ".join(rng.choice(prose) for _ in range(k))
+    texts = [fresh(rng.randint(20, 80)) for _ in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}", i) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i].replace(" ", "\n ", 3), "en", "s0", 0) for i in range(5)]  # exact copies
+    rows += [(200 + i, texts[10 + i] + " more", "en", None, 0) for i in range(5)]  # near copies
+    rows += [(3, texts[3], "en", "s0", 3), (4, "one id but another text here", "en", "s1", 4), (None, texts[20], "en", "s1", 0), (None, texts[21] + " end", "en", "s2", 0), (None, None, None, None, None), (300, None, "en", "s1", 0), (301, "", "en", "s1", 0), (302, "12 34 !", "en", "s1", 0), (303, fresh(9000), "en", "s2", 0)]
+    schema = "doc_id long, text string, lang string, source string, n long"
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        seen.append([tuple(r) for r in docs.collect()])
+        if name != "packing":
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    language, exact, near, mixed, packed = seen
+    assert sorted(language, key=str) == sorted((r for r in rows if re.search("[a-z]", r[1] or "")), key=str)
+    last = lambda r: (r[0] is None, r[0] or 0)
+    groups = defaultdict(list)
+    for r in language:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r[1])].append(r)
+    assert sorted(map(str, exact)) == sorted(str(min(g, key=last)) for g in groups.values())
+    order = sorted(exact, key=lambda r: (*last(r), r[1]))
+    component, want = linked({i: shingles(r[1]) for i, r in enumerate(order)}), []
+    for i, r in enumerate(order):
+        if component[i] == i:
+            want.append(r)
+    assert sorted(map(str, near)) == sorted(map(str, want))
+    count = Counter(map(str, mixed))
+    assert set(count) <= set(map(str, near)) and max(count.values()) <= 3
+    size = lambda rs: sum(len(r[1].split()) for r in rs)
+    longest = max(len(r[1].split()) for r in near)
+    assert abs(size(mixed) - size(near)) <= longest
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r[2] for r in packed) == sum(len(ids.encode(r[1]).ids) + 1 for r in mixed)
+    assert corpus_pipeline.run(spark, folder).count() == len(packed)
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0

@@ -10,11 +10,19 @@
 3. Groups that share a prefix shingle are filtered by size and by what their
    positions leave possible, then expanded to their members and verified on
    whole sets.  The members of a group meet its least one.  Groups first meet
-   the least group of a shingle only, then in
-   ``rounds`` turns another node of a shingle that still has several components,
-   one try for each: their number is linear.  Then all pairs of a shingle that
-   lie in different components are verified, also those of one group.  Pairs
-   inside a component can't change it, so no link is lost between components.
+   the least group of a shingle only, then in ``rounds`` turns another group of
+   a shingle that still has several components, one try for each: their number
+   is linear.
+4. What is left stays in groups: two groups that are not wholly in one component
+   are a candidate at the first shingle their prefixes share.  What they share
+   lies at or behind it in both, so that shingle must be early enough in both
+   sets (few of the shingles that many documents share are), and a shingle
+   before which both have a common one is passed over.  Inside a group of
+   several components the prefix is deepened: its members share all of it, so
+   of the rest they must share one of the first n - ceil(6 n / 7) + 1 behind it.
+   Candidates are expanded to members of different components and verified.
+   Pairs inside a component can't change it, so no link is lost between
+   components.
 
 Null text counts as empty; an empty document is linked with nothing.  Rows that
 repeat a doc_id get the component of the one with the least set hash; a row
@@ -28,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, ids_only, written
@@ -80,18 +88,22 @@ def frequent_shingles(docs: DataFrame, most: int, least: int = 8) -> np.ndarray:
     return np.column_stack([token[order], n[order].astype(np.uint64)]) if len(token) else np.zeros((0, 2), np.uint64)
 
 
-def prefix_of(s: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first n - ceil(3 n / 4) + 1 of a sorted set, in the global order."""
-    p = len(s) // 4 + 1
+def in_order(s: np.ndarray, often: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of a sorted set, in the global order."""
     if len(often):
         at = np.minimum(np.searchsorted(often[:, 0], s), len(often) - 1)
         known = often[at, 0] == s
         rare = s[~known]
-        if len(rare) >= p:
-            return rare[:p]
+        if len(rare) >= most:
+            return rare[:most]
         late = np.lexsort((s[known], often[at[known], 1]))
-        return np.concatenate([rare, s[known][late]])[:p]
-    return s[:p]
+        return np.concatenate([rare, s[known][late]])[:most]
+    return s[:most]
+
+
+def prefix_of(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first n - ceil(3 n / 4) + 1 of a sorted set, in the global order."""
+    return in_order(s, often, len(s) // 4 + 1)
 
 
 def profiles(docs: DataFrame, often: np.ndarray) -> DataFrame:
@@ -123,7 +135,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id of edges (a, b), by alternating large and small stars."""
     e = written(edges.select("a", "b").where("a <> b").distinct(), "stars")
-    before = None
+    before, large = None, None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -132,7 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
         # every edge points down: a > b
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        e = written(small.where("a <> b").distinct(), "stars")
+        last, e = e, written(small.where("a <> b").distinct(), "stars")
+        discard(last, large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
@@ -171,12 +184,63 @@ def _reach(k: Column, pa: Column, pb: Column, na: Column, nb: Column) -> Column:
     return k + F.greatest(F.least(behind(na), nb - pb - 1), F.least(behind(nb), na - pa - 1))
 
 
+#: Earlier shingles of a group that are looked at to pass over a pair that met before.
+BEFORE = 4
+
+
 def _open(spots: DataFrame, members: DataFrame, part: DataFrame) -> DataFrame:
-    """token, pos, id, n, component of the shingles whose nodes lie in several components."""
-    at = members.join(part, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("component"))
-    every = spots.select("token", "gid", "pos").join(at, "gid")
-    several = every.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    return written(every.join(several, "token"), "join-open")
+    """token, pos, gid, n, least, most, before of the shingles whose groups lie in several components.
+
+    least and most: of the components of a group's members; before: the group's
+    last few of these shingles before this one.
+    """
+    span = members.join(part, "id", "left").groupBy("gid").agg(*[f(F.coalesce("component", "id")).alias(c) for c, f in (("least", F.min), ("most", F.max))])
+    every = spots.select("token", "gid", "pos", "n").join(span, "gid")
+    several = every.groupBy("token").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x <> y").select("token")
+    before = F.collect_list("token").over(Window.partitionBy("gid").orderBy("pos").rowsBetween(-BEFORE, -1))
+    return written(every.join(several, "token").withColumn("before", before), "join-open")
+
+
+def _apart(x: str, y: str) -> Column:
+    """Whether two groups are not wholly in one component."""
+    c = lambda a, b: F.col(f"{a}.{b}")
+    return ~((c(x, "least") == c(y, "most")) & (c(x, "most") == c(y, "least")))
+
+
+def _shared(groups: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The pairs of groups (g, h) whose prefixes share enough: all they share in different components is in mixed."""
+    lists = written(mixed.groupBy("gid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s")), "join-lists")
+    of = lambda g, c: lists.select(F.col("gid").alias(g), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+    both = groups.join(of("g", "a"), "g").join(of("h", "b"), "h")
+    both = both.withColumn("common", F.array_intersect("sa.token", "sb.token"))
+    last = lambda s: F.element_at(F.filter(s, lambda x: F.array_contains("common", x["token"])), -1)["pos"]
+    return both.where(_possible(F.col("na"), F.col("nb"), _reach(F.size("common"), last("sa"), last("sb"), F.col("na"), F.col("nb")))).select("g", "h")
+
+
+def _inside(at: DataFrame, docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of one group and different components that share a shingle of the deepened prefix; at: gid, id, component."""
+    several = at.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
+    some = written(at.join(several, "gid"), "join-inside")
+    if some.isEmpty():
+        return some.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                sets = list(shingle_sets(part.column(1).to_pylist()))
+                # 7 * overlap >= 6 n leaves n // 7 shingles that are not shared
+                behind = [in_order(s, shared.value, len(s) // 4 + 1 + len(s) // 7 + 1)[len(s) // 4 + 1 :] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(behind)], ["id", "n", "behind"])
+
+    texts = ids_only(docs, some.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", "text")
+    spots = texts.mapInArrow(deeper, "id long, n int, behind array<long>").select("id", "n", F.posexplode("behind").alias("pos", "token")).distinct()
+    spots = written(spots.join(some, "id"), "join-inside-spots")
+    x, y = spots.alias("x"), spots.alias("y")
+    late = F.greatest("x.pos", "y.pos")
+    same = (F.col("x.gid") == F.col("y.gid")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, same & (late <= F.floor(F.col("x.n") / 7))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,7 +256,8 @@ def near_duplicates(docs: DataFrame, frequent: int = 200_000, rounds: int = 1, i
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = docs.where("doc_id is not null")
-    d = written(profiles(named, frequent_shingles(named, frequent)), "join-profiles")
+    often = frequent_shingles(named, frequent)
+    d = written(profiles(named, often), "join-profiles")
     full = d.where("n > 0")
     # of rows that repeat a doc_id one stands for it; equal sets are one node, named by its least doc_id
     rows = written(full.groupBy("doc_id").agg(F.min(F.struct("set_key", "group_key", "n")).alias("r")).select("doc_id", "r.*"), "join-rows")
@@ -222,16 +287,17 @@ def near_duplicates(docs: DataFrame, frequent: int = 200_000, rounds: int = 1, i
     star = near.join(members.withColumnRenamed("gid", "g"), "g").select(F.col("id").alias("a"), F.col("h").alias("b"))
     star = written(star.unionByName(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))).distinct(), "join-star")
     part = components(_linked(star, named))
+    discard(star)
 
-    # rounds against other nodes of each shingle whose nodes are not in one component yet
+    # rounds against other groups of each shingle whose groups are not in one component yet
     for turn in range(rounds):
         mixed = _open(spots, members, part)
-        pivot = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component", "n", "pos")).alias("p"))
-        tried = mixed.join(pivot, "token").where("component <> p.component").where(_possible(F.col("n"), F.col("p.n"), _room(F.col("pos"), F.col("p.pos"), F.col("n"), F.col("p.n"))))
-        tried = tried.groupBy("id", "n", F.col("p.id").alias("b"), F.col("p.n").alias("nb")).agg(F.count(F.lit(1)).alias("k"), F.max("pos").alias("pa"), F.max("p.pos").alias("pb"))
+        pivot = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "least", "most", "n", "pos")).alias("p"))
+        tried = mixed.alias("m").join(pivot, "token").where((F.col("gid") != F.col("p.gid")) & _apart("m", "p")).where(_possible(F.col("n"), F.col("p.n"), _room(F.col("pos"), F.col("p.pos"), F.col("n"), F.col("p.n"))))
+        tried = tried.groupBy("gid", "n", F.col("p.gid").alias("b"), F.col("p.n").alias("nb")).agg(F.count(F.lit(1)).alias("k"), F.max("pos").alias("pa"), F.max("p.pos").alias("pb"))
         # what is not tried here is left to the end
-        tried = tried.where(_possible(F.col("n"), F.col("nb"), _reach(*map(F.col, ("k", "pa", "pb", "n", "nb"))))).groupBy(F.col("id").alias("a")).agg(F.max(F.struct("k", "b"))["b"].alias("b"))
-        tried = written(tried, "join-round")
+        tried = tried.where(_possible(F.col("n"), F.col("nb"), _reach(*map(F.col, ("k", "pa", "pb", "n", "nb"))))).groupBy("gid").agg(F.max(F.struct("k", "b"))["b"].alias("b"))
+        tried = written(tried.join(members, "gid").select(F.col("id").alias("a"), "b"), "join-round")
         links = _linked(tried, named)
         part = _merged(part, links)
         done = links.isEmpty()
@@ -239,17 +305,20 @@ def near_duplicates(docs: DataFrame, frequent: int = 200_000, rounds: int = 1, i
         if done:
             break
 
-    # what is left: all pairs of different components that share a shingle
+    # what is left: pairs of groups at the first shingle they share, and pairs of members of one group
     mixed = _open(spots, members, part)
     x, y = mixed.alias("x"), mixed.alias("y")
-    apart = (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _possible(F.col("x.n"), F.col("y.n"), _room(F.col("x.pos"), F.col("y.pos"), F.col("x.n"), F.col("y.n"))))
-    rest = rest.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-    rest = rest.where(_possible(F.col("na"), F.col("nb"), _reach(*map(F.col, ("k", "pa", "pb", "na", "nb")))))
-    rest = written(rest.select("a", "b"), "join-rest")
+    early = _possible(F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")))
+    first = ~F.arrays_overlap("x.before", "y.before")
+    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") > F.col("y.gid")) & _apart("x", "y") & early & first)
+    groups = _shared(groups.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct(), mixed)
+    at = written(members.join(part, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component")), "join-at")
+    of = lambda g, i, c: at.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(c))
+    rest = groups.join(of("g", "a", "ca"), "g").join(of("h", "b", "cb"), "h").where("ca <> cb").select("a", "b")
+    rest = written(rest.unionByName(_inside(at, named, often)).distinct(), "join-rest")
     if not rest.isEmpty():
         part = _merged(part, _linked(rest, named))
-    discard(mixed)
+    discard(mixed, at, rest)
 
     of_set = nodes.select("set_key", "id").join(part, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     of_doc = rows.select("doc_id", "set_key").join(of_set, "set_key").select("doc_id", "component")

@@ -11,7 +11,7 @@ from .axis import aligned, previous
 EPS = 1e-9
 GROWTH = 0.10
 #: Concepts that must move with volume, by the suffix of their detector.
-WITH_VOLUME = {"ap": "bs.accounts_payable", "capex": "cf.capex", "cogs": "pnl.cogs", "headcount": "ops.headcount", "wc": "bs.working_capital", "inventory": "bs.inventory"}
+WITH_VOLUME = {"ap": "bs.ap", "capex": "cf.capex", "cogs": "pnl.cogs", "headcount": "ops.headcount", "wc": "bs.working_capital", "inventory": "bs.inventory"}
 
 
 def excel_errors(cells: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def scale_mismatches(facts: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
 
 def below_breakeven(facts: DataFrame) -> DataFrame:
     """|Q| |P| - |COGS| short of |OPEX| by more than the tolerance."""
-    w = aligned(facts, ["ops.volume", "ops.price", "pnl.cogs", "pnl.opex"])
-    margin = F.abs("ops_volume") * F.abs("ops_price") - F.abs("pnl_cogs")
+    w = aligned(facts, ["pnl.volume", "pnl.price", "pnl.cogs", "pnl.opex"])
+    margin = F.abs("pnl_volume") * F.abs("pnl_price") - F.abs("pnl_cogs")
     opex = F.abs("pnl_opex")
     return w.where(margin + tolerance(margin, opex) < opex).select("book", "period_key", (margin - opex).alias("delta"))
 
@@ -60,11 +60,11 @@ def negative_npv(facts: DataFrame) -> DataFrame:
 
 def volume_without(facts: DataFrame, other: str) -> DataFrame:
     """Forecast periods whose volume grows by 10 % or more over the previous aligned one while the other line stays."""
-    w = aligned(facts, ["ops.volume", other])
+    w = aligned(facts, ["pnl.volume", other])
     c = other.replace(".", "_")
-    ok = F.col("ops_volume").isNotNull() & F.col(c).isNotNull()
-    w = w.select("book", "period_key", "role", "ops_volume", c, previous(ok, F.col("ops_volume")).alias("v0"), previous(ok, F.col(c)).alias("c0"))
-    grown = F.try_divide(F.abs("ops_volume"), F.abs("v0")) - 1
+    ok = F.col("pnl_volume").isNotNull() & F.col(c).isNotNull()
+    w = w.select("book", "period_key", "role", "pnl_volume", c, previous(ok, F.col("pnl_volume")).alias("v0"), previous(ok, F.col(c)).alias("c0"))
+    grown = F.try_divide(F.abs("pnl_volume"), F.abs("v0")) - 1
     flat = F.abs(F.col(c)) - F.abs("c0") <= tolerance(F.col(c), F.col("c0"))
     return w.where((F.col("role") == "forecast") & (grown >= GROWTH - EPS) & flat).select("book", "period_key", grown.alias("growth"), (F.abs(F.col(c)) - F.abs("c0")).alias("moved"))
 

@@ -23,7 +23,7 @@ CONTROLS = {
     "F02": ("pnl.revenue", "pnl.ebitda"),
     "F03": ("pnl.ebitda",),
     "F04": ("pnl.net_income", "cf.fcf", "cf.cfo"),
-    "F05": ("pnl.revenue", "pnl.cogs", "bs.accounts_receivable", "bs.inventory", "bs.accounts_payable"),
+    "F05": ("pnl.revenue", "pnl.cogs", "bs.ar", "bs.inventory", "bs.ap"),
     "F06": ("bs.debt", "bs.cash", "pnl.ebitda"),
     "F07": ("pnl.ebitda", "pnl.interest"),
     "F08": ("bs.cash",),
@@ -34,7 +34,7 @@ CONTROLS = {
     "F13": ("cf.dividends", "cf.fcf"),
     "F14": ("bs.cash",),
 }
-YEARLY = ("pnl.revenue", "pnl.ebitda", "pnl.net_income", "cf.fcf", "cf.cfo", "pnl.cogs", "bs.accounts_receivable", "bs.inventory", "bs.accounts_payable", "bs.debt", "bs.cash", "pnl.interest", "cf.dividends", "cf.drawdown", "cf.repayment", "cov.dscr", "covenant.headroom", "fx.rate")
+YEARLY = ("pnl.revenue", "pnl.ebitda", "pnl.net_income", "cf.fcf", "cf.cfo", "pnl.cogs", "bs.ar", "bs.inventory", "bs.ap", "bs.debt", "bs.cash", "pnl.interest", "cf.dividends", "cf.drawdown", "cf.repayment", "cov.dscr", "covenant.headroom", "fx.rate")
 MONTHLY = ("bs.cash", "cf.repayment", "cf.drawdown")
 
 
@@ -63,10 +63,10 @@ def yearly_flags(yearly: DataFrame) -> DataFrame:
     w = w.withColumn("prev_role", lag("role")).withColumn("yoy", F.try_divide(r, lag("pnl_revenue")) - 1)
     w = w.withColumn("prev_yoy", _last_known(F.col("yoy"))).withColumn("e0", lag("pnl_ebitda")).withColumn("m", F.try_divide(e, r))
     w = w.withColumn("m0", lag("m")).withColumn("e_yoy", F.when(F.col("e0") != 0, e / F.col("e0") - 1))
-    for days, stock, flow in (("dso", "bs_accounts_receivable", r), ("dio", "bs_inventory", F.col("pnl_cogs")), ("dpo", "bs_accounts_payable", F.col("pnl_cogs"))):
+    for days, stock, flow in (("dso", "bs_ar", r), ("dio", "bs_inventory", F.col("pnl_cogs")), ("dpo", "bs_ap", F.col("pnl_cogs"))):
         w = w.withColumn(days, F.try_divide(F.col(stock), flow) * 365)
         w = w.withColumn(f"{days}_lift", F.col(days) - F.last(F.when(F.col("role") == "historical", F.col(days)), ignorenulls=True).over(_before()))
-    w = w.withColumn("ar_up", F.col("bs_accounts_receivable") - lag("bs_accounts_receivable")).withColumn("r_up", r - lag("pnl_revenue"))
+    w = w.withColumn("ar_up", F.col("bs_ar") - lag("bs_ar")).withColumn("r_up", r - lag("pnl_revenue"))
     w = w.withColumn("leverage", F.when(e > 0, (F.col("bs_debt") - F.coalesce("bs_cash", F.lit(0.0))) / e)).withColumn("leverage0", _last_known(F.col("leverage")))
     w = w.withColumn("icr", F.try_divide(e, F.abs("pnl_interest"))).withColumn("fcf0", lag("cf_fcf")).withColumn("cfo0", lag("cf_cfo"))
     drop, cliff = F.col("yoy") <= -DROP, (F.col("prev_role") == "historical") & (F.abs(F.col("yoy") - F.col("prev_yoy")) >= CLIFF)

@@ -29,21 +29,24 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- identities
 
-for _i in identities.IDENTITIES:
+_COLUMNS = ("book", "identity_id", "period_key", "got", "want", "delta")
+for _id in dict.fromkeys(i.id for i in identities.IDENTITIES):
 
-    def _identity(spark, sf_dir, i=_i):
-        concepts = [c for c in (*i.needs, *i.flows) if c in st.CONCEPTS]
-        return identities.check_identities(st.facts(spark, sf_dir, concepts), (i,))
+    def _identity(spark, sf_dir, id=_id):
+        some = tuple(i for i in identities.IDENTITIES if i.id == id)
+        concepts = [c for c in st.CONCEPTS if any(c in (*i.lines, *i.some, *i.unless) for i in some)]
+        return identities.check_identities(st.facts(spark, sf_dir, concepts), some).select(*_COLUMNS)
 
-    query(identities.identity_sql(_i, st.wide_sql, st.CONCEPTS), f"identity_{_i.id.lower()}")(_identity)
+    query(" UNION ALL ".join(f"SELECT * FROM ({identities.identity_sql(i, st.wide_sql, st.CONCEPTS)})" for i in identities.IDENTITIES if i.id == _id), f"identity_{_id.lower()}")(_identity)
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({identities.identity_sql(i, st.wide_sql, st.CONCEPTS)})" for i in identities.IDENTITIES))
 def identities_all(spark, sf_dir):
-    return identities.check_identities(st.facts(spark, sf_dir))
+    return identities.check_identities(st.facts(spark, sf_dir)).select(*_COLUMNS)
 
 
-@query(f"WITH {st.wide_sql(['pnl.revenue'], True)} SELECT book, identity_id, missing FROM (SELECT DISTINCT book FROM wide) CROSS JOIN (VALUES ('I4', 'ops.price,ops.volume'), ('I5', 'pnl.cogs,pnl.gross_profit'), ('I6', 'pnl.cogs,pnl.ebitda,pnl.opex')) t(identity_id, missing)")
+@query(f"""WITH {st.wide_sql(['pnl.revenue'], True)} SELECT book, identity_id, missing FROM (SELECT DISTINCT book FROM wide) CROSS JOIN (VALUES ('I1', 'bs.assets_total,bs.equity,bs.liabilities'), ('I3a', 'bs.cash'),
+    ('I3b', 'bs.retained_earnings,pnl.net_income'), ('I5', 'pnl.cogs,pnl.gross_profit'), ('I7', 'pnl.da,pnl.ebit,pnl.ebitda'), ('I9', 'cf.cfo,pnl.net_income'), ('I10', 'bs.debt'), ('I11', 'bs.debt,pnl.interest,pnl.interest_rate'), ('I12', 'pnl.net_income,pnl.tax,pnl.tax_rate')) t(identity_id, missing)""")
 def identity_gaps(spark, sf_dir):
     return identities.missing_concepts(st.facts(spark, sf_dir, ["pnl.revenue"]))
 
@@ -69,9 +72,9 @@ def detector_conflicting_rate(spark, sf_dir):
     return detectors.conflicting_rates(_two_sheets(spark, sf_dir, ["pnl.tax_rate"], 1.1))
 
 
-@query(_sheets_sql("ops.price", "1001e-3", "abs(x - y) > 1e-6", "book, 'fx.rate' AS concept, period_key, x, y"))
+@query(_sheets_sql("pnl.price", "1001e-3", "abs(x - y) > 1e-6", "book, 'fx.rate' AS concept, period_key, x, y"))
 def detector_conflicting_fx(spark, sf_dir):
-    f = _two_sheets(spark, sf_dir, ["ops.price"], 1.001)
+    f = _two_sheets(spark, sf_dir, ["pnl.price"], 1.001)
     return detectors.conflicting_fx(f.withColumn("concept", F.lit("fx.rate")))
 
 
@@ -83,23 +86,23 @@ def detector_scale_mismatch(spark, sf_dir):
 # --- detectors on aligned facts
 
 
-@query(f"WITH {st.wide_sql(['ops.volume', 'ops.price', 'pnl.cogs'])}, m AS (SELECT *, abs(ops_volume) * abs(ops_price) - abs(pnl_cogs) AS margin, abs(pnl_cogs) * 7e-1 AS opex FROM wide) SELECT book, period_key, margin - opex AS delta FROM m WHERE margin + greatest(1e0, 1e-3 * greatest(abs(margin), opex)) < opex")
+@query(f"WITH {st.wide_sql(['pnl.volume', 'pnl.price', 'pnl.cogs'])}, m AS (SELECT *, abs(pnl_volume) * abs(pnl_price) - abs(pnl_cogs) AS margin, abs(pnl_cogs) * 7e-1 AS opex FROM wide) SELECT book, period_key, margin - opex AS delta FROM m WHERE margin + greatest(1e0, 1e-3 * greatest(abs(margin), opex)) < opex")
 def detector_below_breakeven(spark, sf_dir):
-    f = st.facts(spark, sf_dir, ["ops.volume", "ops.price", "pnl.cogs"])
+    f = st.facts(spark, sf_dir, ["pnl.volume", "pnl.price", "pnl.cogs"])
     opex = f.where("concept = 'pnl.cogs'").withColumn("concept", F.lit("pnl.opex")).withColumn("value", F.abs("value") * 0.7)
     return detectors.below_breakeven(f.unionByName(opex))
 
 
-for _name, _concept in (("cogs", "pnl.cogs"), ("capex", "cf.capex"), ("inventory", "bs.inventory"), ("ap", "bs.accounts_payable")):
+for _name, _concept in (("cogs", "pnl.cogs"), ("capex", "cf.capex"), ("inventory", "bs.inventory"), ("ap", "bs.ap")):
 
     def _volume(spark, sf_dir, concept=_concept):
-        f = st.facts(spark, sf_dir, ["ops.volume", concept])
+        f = st.facts(spark, sf_dir, ["pnl.volume", concept])
         # the other line of every second book stays put
         still = F.when((F.col("concept") == concept) & (F.col("book") % 2 == 0), F.lit(1000.0)).otherwise(F.col("value"))
         return detectors.volume_without(f.withColumn("value", still), concept)
 
     _c = _concept.replace(".", "_")
-    query(f"""WITH {st.wide_sql(['ops.volume', _concept])}, s AS (SELECT book, period_key, role, ops_volume AS v, CASE WHEN book % 2 = 0 THEN 1000e0 ELSE {_c} END AS c FROM wide),
+    query(f"""WITH {st.wide_sql(['pnl.volume', _concept])}, s AS (SELECT book, period_key, role, pnl_volume AS v, CASE WHEN book % 2 = 0 THEN 1000e0 ELSE {_c} END AS c FROM wide),
         l AS (SELECT *, lag(v) OVER w AS v0, lag(c) OVER w AS c0 FROM s WINDOW w AS (PARTITION BY book ORDER BY period_key))
         SELECT book, period_key, abs(v) / abs(v0) - 1 AS growth, abs(c) - abs(c0) AS moved FROM l WHERE role = 'forecast' AND abs(v) / abs(v0) - 1 >= 1e-1 - 1e-9 AND abs(c) - abs(c0) <= greatest(1e0, 1e-3 * greatest(abs(c), abs(c0)))""", f"detector_volume_without_{_name}")(_volume)
 
@@ -140,8 +143,8 @@ def _matrix_sql() -> str:
     first = lambda name, hit, metric: f"{name} AS (SELECT book, min(period_key) AS k, arg_min({metric}, period_key) AS m FROM y4 WHERE {hit} GROUP BY book)"
     return f"""WITH {st.wide_sql(yearly)}, {month},
     y1 AS (SELECT *, pnl_revenue / nullif(lag(pnl_revenue) OVER w, 0) - 1 AS yoy, pnl_ebitda / nullif(pnl_revenue, 0) AS mg, lag(role) OVER w AS role0, lag(pnl_ebitda) OVER w AS e0,
-        bs_accounts_receivable / nullif(pnl_revenue, 0) * 365 AS dso, bs_inventory / nullif(pnl_cogs, 0) * 365 AS dio, bs_accounts_payable / nullif(pnl_cogs, 0) * 365 AS dpo,
-        bs_accounts_receivable - lag(bs_accounts_receivable) OVER w AS ar_up, pnl_revenue - lag(pnl_revenue) OVER w AS r_up, CASE WHEN pnl_ebitda > 0 THEN (bs_debt - bs_cash) / pnl_ebitda END AS lev,
+        bs_ar / nullif(pnl_revenue, 0) * 365 AS dso, bs_inventory / nullif(pnl_cogs, 0) * 365 AS dio, bs_ap / nullif(pnl_cogs, 0) * 365 AS dpo,
+        bs_ar - lag(bs_ar) OVER w AS ar_up, pnl_revenue - lag(pnl_revenue) OVER w AS r_up, CASE WHEN pnl_ebitda > 0 THEN (bs_debt - bs_cash) / pnl_ebitda END AS lev,
         pnl_ebitda / nullif(abs(pnl_interest), 0) AS icr, lag(cf_fcf) OVER w AS fcf0, lag(cf_cfo) OVER w AS cfo0 FROM wide WINDOW w AS (PARTITION BY book ORDER BY period_key)),
     y2 AS (SELECT *, lag(yoy) OVER w AS yoy0, lag(mg) OVER w AS mg0, last_value(lev IGNORE NULLS) OVER (PARTITION BY book ORDER BY period_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lev0 FROM y1 WINDOW w AS (PARTITION BY book ORDER BY period_key)),
     hist AS (SELECT book, arg_max(dso, period_key) AS dso_h, arg_max(dio, period_key) AS dio_h, arg_max(dpo, period_key) AS dpo_h, avg(yoy) AS yoy_h FROM y1 WHERE role = 'historical' GROUP BY book),

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Concept: expression over rev, gross, qty, tax of the period, their running sums (.._c), and book.
 CONCEPTS = {
     "pnl.revenue": "rev",
-    "ops.volume": "qty",
-    "ops.price": "CASE WHEN book % 6 = 1 THEN rev / qty * 1.05e0 ELSE rev / qty END",
+    "pnl.volume": "qty",
+    "pnl.price": "CASE WHEN book % 6 = 1 THEN rev / qty * 1.05e0 ELSE rev / qty END",
     "pnl.cogs": "gross * 6e-1",
     "pnl.gross_profit": "CASE WHEN book % 5 = 0 THEN rev - gross * 6e-1 + rev * 2e-2 ELSE rev - gross * 6e-1 END",
     "pnl.opex": "gross * 15e-2",
@@ -38,9 +38,9 @@ CONCEPTS = {
     "bs.equity": "rev_c * 12e-2 + 1000000e0",
     "bs.liabilities": "rev_c * 3e-2",
     "bs.assets_total": "CASE WHEN book % 7 = 3 THEN rev_c * 16e-2 + 1000000e0 ELSE rev_c * 15e-2 + 1000000e0 END",
-    "bs.accounts_receivable": "rev * 2e-1 + qty * 5e2",
+    "bs.ar": "rev * 2e-1 + qty * 5e2",
     "bs.inventory": "gross * 1e-1",
-    "bs.accounts_payable": "gross * 8e-2",
+    "bs.ap": "gross * 8e-2",
     "pnl.tax_rate": "25e-2",
     "pnl.interest_rate": "8e-2",
     "cov.dscr": "rev / gross + (book % 5) * 1e-1 - 2e-1",

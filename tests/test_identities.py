@@ -8,10 +8,10 @@ CASES = [
     ("I1", {"bs.assets_total": [100], "bs.equity": [40], "bs.liabilities": [60]}, 0),
     ("I3a", {"bs.cash": [100, 130], "cf.fcf": [0, 10]}, 1),
     ("I3a", {"bs.cash": [100, 130], "cf.fcf": [0, 10], "fx.cash": [0, 20]}, 0),
-    ("I3b", {"bs.retained_earnings": [100, 125], "pnl.net_income": [0, 20], "cf.dividends": [0, 10], "bs.re_adjustment": [0, 15]}, 0),
-    ("I3b", {"bs.retained_earnings": [100, 140], "pnl.net_income": [0, 20], "cf.dividends": [0, 10], "bs.re_adjustment": [0, 15]}, 1),
+    ("I3b", {"bs.retained_earnings": [100, 125], "pnl.net_income": [0, 20], "cf.dividends": [0, 10], "bs.re_adj": [0, 15]}, 0),
+    ("I3b", {"bs.retained_earnings": [100, 140], "pnl.net_income": [0, 20], "cf.dividends": [0, 10], "bs.re_adj": [0, 15]}, 1),
     ("I3b", {"bs.retained_earnings": [100, 140], "pnl.net_income": [0, 20], "cf.dividends": [0, None]}, 0),
-    ("I4", {"ops.volume": [10], "ops.price": [95], "pnl.revenue": [1020]}, 1),
+    ("I4", {"pnl.volume": [10], "pnl.price": [95], "pnl.revenue": [1020]}, 1),
     ("I5", {"pnl.revenue": [100], "pnl.cogs": [40], "pnl.gross_profit": [50]}, 1),
     ("I6", {"pnl.revenue": [100], "pnl.cogs": [40], "pnl.opex": [30], "pnl.ebitda": [30]}, 0),
     ("I7", {"pnl.ebitda": [50], "pnl.da": [10], "pnl.ebit": [30]}, 1),

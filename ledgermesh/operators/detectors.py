@@ -5,23 +5,116 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import a1
 from ..functions.numeric import ERRORS, as_rate, tolerance
+from ..functions.periods import classify_header
 from .axis import aligned, previous
 
 EPS = 1e-9
 GROWTH = 0.10
 #: Concepts that must move with volume, by the suffix of their detector.
-WITH_VOLUME = {"ap": "bs.ap", "capex": "cf.capex", "cogs": "pnl.cogs", "headcount": "ops.headcount", "wc": "bs.working_capital", "inventory": "bs.inventory"}
+WITH_VOLUME = {"ap": "bs.ap", "capex": "cf.capex", "cogs": "pnl.cogs", "headcount": "ops.headcount", "wc": "bs.ar", "inventory": "bs.inventory"}
 
 
 def excel_errors(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("cached_value").isin(*ERRORS)).select("workbook_id", "sheet", "addr", F.lit("excel_error").alias("detector"), F.lit("error").alias("severity"))
 
 
+def error_masking(compiled: DataFrame) -> DataFrame:
+    """Formulas with IFERROR or IFNA whose value is no error."""
+    masks = F.arrays_overlap("funcs", F.array(F.lit("IFERROR"), F.lit("IFNA")))
+    shown = F.coalesce(F.col("cached_value").isin(*ERRORS), F.lit(False))
+    return compiled.where(masks & ~shown).select("workbook_id", "sheet", "addr", F.lit("error_masking").alias("detector"), F.lit("warning").alias("severity"))
+
+
+#: Concepts and words that make a circular reference likely to be meant.
+MEANT_CONCEPTS = ("interest", "tax", "debt")
+MEANT_LABELS = ("interest", "tax", "sweep", "процент", "налог")
+
+
+def circular(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """One candidate a circular group: workbook_id, cell_refs, size, tags, severity.
+
+    groups: workbook_id, node (sheet!address), component; rows: workbook_id,
+    sheet, row, concept_id, label.
+    """
+    sheet, row = F.regexp_extract("node", "^(.*)!", 1), F.regexp_extract("node", r"(\d+)$", 1).cast("int")
+    words = lambda c, some: F.coalesce(F.lower(c).rlike("|".join(some)), F.lit(False))
+    meant = words(F.col("concept_id"), MEANT_CONCEPTS) | words(F.col("label"), MEANT_LABELS)
+    known = groups.withColumn("sheet", sheet).withColumn("row", row).join(rows.select("workbook_id", "sheet", "row", meant.alias("meant")), ["workbook_id", "sheet", "row"], "left")
+    out = known.groupBy("workbook_id", "component").agg(F.array_sort(F.collect_set("node")).alias("cell_refs"), F.coalesce(F.bool_or("meant"), F.lit(False)).alias("meant"))
+    tags = F.when(F.col("meant"), F.array(F.lit("likely_intentional"))).otherwise(F.array().cast("array<string>"))
+    return out.select("workbook_id", "cell_refs", F.size("cell_refs").alias("size"), tags.alias("tags"), F.when(F.col("meant"), "warning").otherwise("error").alias("severity"))
+
+
+def unresolved_dynamic(edges: DataFrame) -> DataFrame:
+    return edges.where("kind = 'dynamic' and unresolved").select("workbook_id", F.col("src").alias("ref"))
+
+
+def external_links(edges: DataFrame, books: DataFrame) -> DataFrame:
+    """One candidate a workbook with external edges or declared externals: workbook_id, ref, externals.
+
+    edges have the order of their cell as ord; books: workbook_id, externals, first_ref.
+    """
+    first = edges.where("kind = 'external'").groupBy("workbook_id").agg(F.min(F.struct("ord", "src"))["src"].alias("src"))
+    both = books.join(first, "workbook_id", "full").where("src is not null or size(externals) > 0")
+    return both.select("workbook_id", F.coalesce("src", "first_ref", F.lit("Workbook")).alias("ref"), F.coalesce("externals", F.array().cast("array<string>")).alias("externals"))
+
+
+def macros(books: DataFrame) -> DataFrame:
+    """Workbooks with VBA or old macro sheets."""
+    return books.where("has_vba or has_xlm").select("workbook_id", F.coalesce("first_ref", F.lit("Workbook")).alias("ref"), "has_vba", "has_xlm")
+
+
+#: Detectors of the kinds of drift.
+DRIFT = {"template_change": "pattern_break", "ref_shift": "pattern_break", "source_sheet_change": "source_switch"}
+
+
+def series_candidates(drift: DataFrame) -> DataFrame:
+    """Drift as candidates: detector, and tags for the edges of the forecast and for manual figures of the past."""
+    detector = F.coalesce(F.create_map(*[F.lit(x) for pair in DRIFT.items() for x in pair])[F.col("kind")], F.col("kind"))
+    past = (F.col("role") == "historical") & F.col("kind").isin("value_instead_of_formula", "literal_in_ast")
+    tags = F.filter(F.array(F.when(F.col("edge_period"), F.lit("edge_period")), F.when(past, F.lit("hist_manual_adjustment"))), lambda t: t.isNotNull())
+    return drift.select("workbook_id", "sheet", "block_id", "row", "col", detector.alias("detector"), tags.alias("tags"), F.lit("warning").alias("severity"))
+
+
+def scenario_switch(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Workbooks whose mapped lines read from different scenario sheets: workbook_id, scenarios, cell_refs.
+
+    rows: workbook_id, sheet, row, concept_id; edges: workbook_id, src, dst.  A
+    line counts if its cells read from one scenario sheet only, and if it isn't on
+    one itself.
+    """
+    scenario = lambda s: F.when(classify_header(s)["role"] == "scenario", classify_header(s)["period_key"])
+    e = edges.where("dst is not null").select("workbook_id", F.regexp_extract("src", "^(.*)!", 1).alias("sheet"), F.regexp_extract("src", r"(\d+)$", 1).cast("int").alias("row"), "src", scenario(F.regexp_extract("dst", "^(.*)!", 1)).alias("key"))
+    mapped = rows.where("concept_id is not null").where(scenario(F.col("sheet")).isNull()).select("workbook_id", "sheet", "row").distinct()
+    lines = mapped.join(e, ["workbook_id", "sheet", "row"]).groupBy("workbook_id", "sheet", "row").agg(F.collect_set("key").alias("keys"), F.collect_set("src").alias("refs")).where("size(keys) = 1")
+    out = lines.groupBy("workbook_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("scenarios"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("cell_refs"))
+    return out.where("size(scenarios) >= 2")
+
+
+def sum_cells(compiled: DataFrame, rows: DataFrame) -> DataFrame:
+    """Totals in a block, as range_gaps takes them: workbook_id, sheet, block_id, addr, row, col, check_row, boxes (of its own sheet)."""
+    sums = compiled.where("size(sum_ranges) > 0").join(rows.select("workbook_id", "sheet", "block_id", "row", "check_row"), ["workbook_id", "sheet", "row"])
+    own = F.filter("sum_ranges", lambda r: a1.sheet_of(r, F.lit("")) == F.col("sheet"))
+    return sums.select("workbook_id", "sheet", "block_id", "addr", "row", "col", "check_row", own.alias("ranges")).withColumn("boxes", F.transform("ranges", lambda r: a1.range_box(a1.body_of(r))))
+
+
+def covered_leaves(sums: DataFrame) -> DataFrame:
+    """What double_counts takes: a row for each cell of a total's own column that its ranges cover and that is no total itself."""
+    on = ["workbook_id", "sheet", "col"]
+    totals = sums.where(~F.coalesce("check_row", F.lit(False))).select(*on, F.col("addr").alias("total"), F.explode("ranges").alias("range"))
+    cells = a1.explode_range(totals, a1.body_of(F.col("range"))).where((a1.address_col(F.col("cell")) == F.col("col")) & (F.col("cell") != F.col("total")))
+    cells = cells.select(*on, F.col("cell").alias("leaf"), "total")
+    return cells.join(totals.select(*on, F.col("total").alias("leaf")).distinct(), [*on, "leaf"], "left_anti")
+
+
 def _pairs(facts: DataFrame, concepts: tuple[str, ...]):
     a, b = facts.where(F.col("concept").isin(*concepts)).alias("a"), facts.where(F.col("concept").isin(*concepts)).alias("b")
     same = (F.col("a.book") == F.col("b.book")) & (F.col("a.concept") == F.col("b.concept")) & (F.col("a.period_key") == F.col("b.period_key"))
-    return a.join(b, same & (F.col("a.sheet") < F.col("b.sheet"))).select("a.book", "a.concept", "a.period_key", F.col("a.value").alias("x"), F.col("b.value").alias("y"))
+    # any two lines, of one sheet or of two
+    order = ["ord"] if "ord" in facts.columns else ["sheet"]
+    return a.join(b, same & (F.struct(*[f"a.{c}" for c in order]) < F.struct(*[f"b.{c}" for c in order]))).select("a.book", "a.concept", "a.period_key", F.col("a.value").alias("x"), F.col("b.value").alias("y"))
 
 
 def conflicting_rates(facts: DataFrame) -> DataFrame:

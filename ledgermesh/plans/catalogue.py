@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import a1, dates, labels, numeric, periods
 from ..operators import detectors, frs, graph, identities, lineage, mapping, rollup, series
+from . import formula_queries  # noqa: F401  registers its queries
 from . import statements as st
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def register(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .registry import table as _t
 
 # --- identities
 

@@ -13,12 +13,15 @@ random string of n characters over an alphabet of A, with n_c of each,
 * the lag-one correlation of the places in the alphabet has mean 0 and variance 1 / (n - 1).
 
 Their p-values join as the least times 3 (Bonferroni); a run below ``alpha`` is
-not random.  Short words can look uniform by luck, so a run also needs evidence
-against prose: 2 ** -(n * excess / 4), where excess is its collision entropy
-over that of prose letters (``PROSE_BITS``), falls with the length.  These pass
-Benjamini-Hochberg at level ``q`` over the candidates of a document, so more or
-shorter candidates need more evidence each.  Runs without a digit, and base64
-runs without both cases, count as words whatever their evenness.
+not random.  Short words can look uniform by luck, so a run must also be unlike
+prose.  That test's p-value is the probability of the run's characters as prose
+(letter frequencies, some digits and marks) over that as a uniform string, at
+most 1: under prose the inverse of that ratio has mean 1 or less, so by Markov's
+inequality a ratio of p or less has probability p or less.  It falls with the
+length of a random run by a factor of about 2 for each character or faster.  The
+p-values pass Benjamini-Hochberg at level ``q`` over the candidates of a
+document, so more or shorter candidates need more evidence each.  Runs without a
+digit, and base64 runs without both cases, count as words whatever their evenness.
 
 Null text counts as empty; a document without a find gives zeros, the hash of
 the empty string and an empty list; a repeated row gives its line again.  Other
@@ -27,6 +30,8 @@ columns are not read.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +41,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run of [0-9a-f]+ of 24 or more
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-PROSE_BITS = 3.9
-HEX_PROSE_BITS = 2.6
+#: Matches that are numbered at a time.
+CHUNK = 64
 
 SPAN = "struct<start:int,kind:int,end:int,text:string>"
 
@@ -47,14 +52,20 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast(f"array<{SPAN}>")
     pairs = F.arrays_zip(F.transform(gaps, lambda g: F.char_length(g)).alias("gap"), found.alias("m"))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
         start, n = acc["at"] + x["gap"], F.char_length(x["m"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + n).alias("end"), x["m"].alias("text"))
         return F.struct((start + n).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def chunk(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    # an array grows by a match at a time within a chunk only, so texts of very many matches don't cost their square
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
+    spans = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")), chunk, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
@@ -70,6 +81,24 @@ HEX_ALPHABET = "0123456789abcdef"
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE36_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Percent of the letters a to z in English text (fixed values).
+LETTER_PERCENT = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+
+
+def _prose(letter: str, cased: bool) -> float:
+    """Probability of a character in names and prose: a tenth digits, a tenth marks where there are any, a capital in eight letters where there is case."""
+    if letter.isdigit():
+        return 0.01
+    if not letter.isalpha():
+        return 0.05
+    share = LETTER_PERCENT[ord(letter.lower()) - ord("a")] / 100
+    return share * (0.8 * (0.125 if letter.isupper() else 0.875) if cased else 0.9)
+
+
+def evidence(alphabet: str) -> Column:
+    """Bits by which each character of an alphabet speaks for a uniform string against prose."""
+    cased = alphabet == BASE64_ALPHABET
+    return F.array(*[F.lit(-log2(len(alphabet)) - log2(_prose(c, cased))) for c in alphabet])
 
 
 def battery(spans: Column) -> Column:
@@ -81,12 +110,12 @@ def battery(spans: Column) -> Column:
         letters = F.when(hexed, HEX_ALPHABET).when(base32, BASE32_ALPHABET).when(base36, BASE36_ALPHABET).otherwise(BASE64_ALPHABET)
         folded = F.when(hexed, F.lower(t)).when(base32 | base36, F.upper(t)).otherwise(F.translate(t, "-_", "+/"))
         shaped = t.rlike("[0-9]") & (base32 | base36 | (t.rlike("[a-z]") & t.rlike("[A-Z]")))
-        prose = F.when(hexed, HEX_PROSE_BITS).otherwise(PROSE_BITS)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), shaped.alias("shaped"), folded.alias("t"), letters.alias("letters"), prose.alias("prose"))
+        bits = F.when(hexed, evidence(HEX_ALPHABET)).when(base32, evidence(BASE32_ALPHABET)).when(base36, evidence(BASE36_ALPHABET)).otherwise(evidence(BASE64_ALPHABET))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), shaped.alias("shaped"), folded.alias("t"), letters.alias("letters"), bits.alias("bits"))
 
     def placed(x: Column) -> Column:
         at = F.transform(F.split(x["t"], ""), lambda c: F.call_function("position", c, x["letters"]).cast("double"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["shaped"].alias("shaped"), at.alias("v"), F.char_length(x["t"]).cast("double").alias("n"), F.char_length(x["letters"]).cast("double").alias("a"), x["prose"].alias("prose"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["shaped"].alias("shaped"), at.alias("v"), F.char_length(x["t"]).cast("double").alias("n"), F.char_length(x["letters"]).cast("double").alias("a"), x["bits"].alias("bits"))
 
     def summed(x: Column) -> Column:
         squares = F.aggregate(
@@ -102,19 +131,19 @@ def battery(spans: Column) -> Column:
             F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("serial")),
             lambda s, c: F.struct(c.alias("last"), (s["runs"] + F.when((s["last"] < 0) | ((s["last"] > mid) != (c > mid)), 1.0).otherwise(0.0)).alias("runs"), (s["serial"] + F.when(s["last"] < 0, 0.0).otherwise((s["last"] - mid) * (c - mid))).alias("serial")),
         )
-        return F.struct(*[x[c].alias(c) for c in ("start", "end", "shaped", "n", "a", "prose")], squares.alias("squares"), moves.alias("moves"))
+        bits = F.aggregate(x["v"], F.lit(0.0), lambda s, c: s + F.element_at(x["bits"], c.cast("int")))
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "shaped", "n", "a")], bits.alias("bits"), squares.alias("squares"), moves.alias("moves"))
 
     def scored(x: Column) -> Column:
         n, a = x["n"], x["a"]
         z_chi = (a / n * x["squares"] - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
         z_runs = (x["moves"]["runs"] - 1 - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         z_serial = x["moves"]["serial"] / ((a * a - 1) / 12) / F.sqrt(n - 1)
-        excess = -F.log2(F.greatest((x["squares"] - n) / (n * (n - 1)), 1 / (2 * a))) - x["prose"]
-        return F.struct(*[x[c].alias(c) for c in ("start", "end", "shaped", "n")], F.greatest(z_chi, F.lit(0.0)).alias("z_chi"), F.greatest(F.abs(z_runs), F.abs(z_serial)).alias("z_two"), F.greatest(excess, F.lit(0.0)).alias("excess"))
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "shaped", "bits")], F.greatest(z_chi, F.lit(0.0)).alias("z_chi"), F.greatest(F.abs(z_runs), F.abs(z_serial)).alias("z_two"))
 
     def judged(x: Column) -> Column:
         p = F.least(F.lit(1.0), 3 * F.least(_upper_p(x["z_chi"]), 2 * _upper_p(x["z_two"])))
-        prose = F.when(x["shaped"], F.pow(F.lit(2.0), -x["n"] * x["excess"] / 4)).otherwise(1.0)
+        prose = F.when(x["shaped"], F.least(F.lit(1.0), F.pow(F.lit(2.0), -x["bits"]))).otherwise(1.0)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), p.alias("p_random"), prose.alias("p_prose"))
 
     out = spans

@@ -1,8 +1,8 @@
 """Language identification by multilingual mixture inference.
 
 Training counts hashed character trigrams of labelled texts, by language, on a
-bounded sample: about ``train_docs`` texts of each of the ``max_langs`` most
-frequent languages, drawn by a hash of the id.  Every text is then taken as a
+bounded sample: about ``train_docs`` texts of each language, drawn by a hash of
+the id.  Every label is learned; a language takes BUCKETS numbers of the model.  Every text is then taken as a
 mixture of these languages: expectation-maximisation finds the proportions that
 make its trigrams likeliest, and of the sets of its 1, 2, ... strongest
 languages the one with the greatest likelihood less a penalty (half the log of
@@ -66,7 +66,7 @@ def infer(ids: np.ndarray, model: np.ndarray, penalty: float) -> tuple[list[int]
     best, at = (order[:1], share[order[:1]]), -np.inf
     if len(order) == 1:
         return best[0].tolist(), best[1].tolist()
-    for k in range(1, min(len(order), 5) + 1):
+    for k in range(1, len(order) + 1):
         some, ll = mixture(counts, like[:, order[:k]])
         if ll - penalty * 0.5 * k * np.log(counts.sum()) > at:
             at, best = ll - penalty * 0.5 * k * np.log(counts.sum()), (order[:k], share[order[:k]] if k == 1 else some)
@@ -78,10 +78,10 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, train_docs: int = 3000, max_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, train_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the (BUCKETS x languages) trigram probabilities, from labelled texts that are not held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = known.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    sizes = known.groupBy(F.col(lang_col).alias("l")).count().collect()  # a row a language
     langs = sorted(r["l"] for r in sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
@@ -99,7 +99,7 @@ def train(docs: DataFrame, train_docs: int = 3000, max_langs: int = 200, id_col:
 
     part = F.create_map(*[x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1.0, train_docs / r["count"])))])[F.col(lang_col)]
     draw = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 20)) < part * (1 << 20)
-    sample = known.where(F.col(lang_col).isin(langs) & draw).select(F.col(lang_col).alias("l"), F.col(text_col).alias("text"))
+    sample = known.where(draw).select(F.col(lang_col).alias("l"), F.col(text_col).alias("text"))
     counts = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # at most BUCKETS rows a language
     table = np.zeros((BUCKETS, len(langs)))
@@ -111,7 +111,7 @@ def train(docs: DataFrame, train_docs: int = 3000, max_langs: int = 200, id_col:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, langs and shares (the chosen set) of every row."""
     langs, like = model
-    shared = docs.sparkSession.sparkContext.broadcast(like)  # BUCKETS x max_langs numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(like)  # BUCKETS numbers a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

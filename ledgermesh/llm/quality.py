@@ -85,7 +85,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Col
     d = written(d, "quality-features")
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
     share = min(1.0, fit_rows / max(1, y.count()))
-    y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).limit(fit_rows)
+    draw = F.xxhash64("doc_id", F.lit(5))
+    y = y.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20)).orderBy(draw, "doc_id").limit(fit_rows)
     fit = d.join(F.broadcast(y), "doc_id").select(*FEATURES, "y").toArrow()  # at most fit_rows rows
     x = np.column_stack([fit.column(c).to_numpy() for c in FEATURES]) if fit.num_rows else np.zeros((0, len(FEATURES)))
     target = fit.column("y").to_numpy()

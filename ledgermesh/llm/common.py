@@ -64,7 +64,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def ids_only(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
-    """df joined to a table of ids: broadcast behind a count of the ids, else shuffled."""
+    """df joined to a table of ids: broadcast behind a count of the ids (fewer where a row of them is wide), else shuffled."""
+    most = most // len(ids.columns)
     small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, on, how)
 

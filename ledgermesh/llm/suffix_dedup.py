@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, discard, ids_only, written
+from .common import discard, ids_only, written
 from .shingles import _SEED, mixed, powers
 
 GRAM = 64
@@ -150,7 +150,7 @@ def doubled(windows: DataFrame) -> DataFrame:
         more = written(more, "suffix-pairs")
         ranks = more.repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn("next", F.monotonically_increasing_id())
         ranks = written(ranks, "suffix-ranks")
-        left = written(ids_only(left, ranks, pair, "inner", BROADCAST_IDS // 4).drop("rank", f"h{k}").withColumnRenamed("next", "rank"), "suffix-left")
+        left = written(ids_only(left, ranks, pair, "inner").drop("rank", f"h{k}").withColumnRenamed("next", "rank"), "suffix-left")
         discard(more, ranks, held)
         held = left
     return left.where("open").select(*KEY, "pos")

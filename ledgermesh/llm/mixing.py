@@ -7,7 +7,9 @@ to and with it, in a shuffled order, over the target of the source; half of the
 copy's own tokens are left out of it, so that the cut rounds to the nearest
 document instead of always leaving the last one out.  All copies are sorted by
 virtual time over ranges, and the sequence is cut where its running sum reaches
-the budget.
+the budget.  Then ``evened`` times each source gets or loses one copy of the
+document that brings it nearest to its target, which matters where a source is
+a few documents only.
 
 Running sums are made in two steps, so that no source and no list of sources
 meets in one task: sums within a task's range, or within (source, salt) buckets
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_IDS, written
 
 #: Rows of a bucket of the shuffled order, about.
 BUCKET_ROWS = 20_000
@@ -73,7 +75,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return w.select("source", "source_size", F.least("cap", F.coalesce("common", F.lit(float("inf"))) * F.col("weight")).alias("target"), "weight")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, repeats: int = 3, evened: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target (both of its source), taken, source."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
     d = written(d.withColumn("key", F.xxhash64("doc_id", F.lit(seed))), "mixing")
@@ -101,7 +103,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     budget = goal.agg(F.sum("target").alias("t")).first()["t"] or 0.0
     # the last copy of the sequence whose middle is within the budget
     cut = running(copies, [F.col("place")], spent=F.col("size")).where(F.col("spent") - F.col("size") / 2 <= budget).agg(F.max("place").alias("cut"))
-    out = d.crossJoin(F.broadcast(cut))
     n = F.size(F.filter(every, lambda c: F.coalesce(place(c) <= F.col("cut"), F.lit(False))))
-    taken = F.when(F.col("size") > 0, F.col("size") * n).otherwise(0).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    out = written(d.crossJoin(F.broadcast(cut)).withColumn("n", F.when(F.col("size") > 0, n).otherwise(0)), "mixing-copies")
+    for _ in range(evened):
+        out = written(_evened(out, repeats), "mixing-copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n")).cast("long").alias("taken"), "source")
+
+
+def _evened(d: DataFrame, repeats: int) -> DataFrame:
+    """d with one copy more, or less, of the document of each source that brings it nearest to its target."""
+    got = written(d.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("n"))).alias("gap")), "mixing-gaps")
+    small = got.count() <= BROADCAST_IDS // 4
+    d = d.alias("d").join((F.broadcast(got) if small else got).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
+    can = F.when(F.col("gap") > 0, F.col("n") < repeats).otherwise(F.col("n") > 0) & (F.col("size") > 0)
+    after = F.abs(F.abs("gap") - F.col("size"))
+    best = d.groupBy("source").agg(F.min(F.when(can & (after < F.abs("gap")), F.struct(after, "key", "nth"))).alias("best"))
+    best = best.where("best is not null").select(F.col("source").alias("s"), F.col("best.key").alias("k"), F.col("best.nth").alias("t"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k")) & (F.col("nth") == F.col("t"))
+    out = d.join(F.broadcast(best) if small else best, same, "left")
+    return out.withColumn("n", F.when(F.col("k").isNotNull(), F.col("n") + F.sign("gap").cast("int")).otherwise(F.col("n"))).drop("s", "k", "t", "gap")

@@ -6,9 +6,9 @@ ids.  In a segment every source has a queue.  Each window adds a quantum to the
 deficit of each source, its target proportion of the window, and takes from
 each queue what its deficit allows, cutting documents at the quantum; room that
 is left, because a queue has run out or by rounding, goes to the queues with the
-largest deficits.  Deficits carry from window to window; what a segment starts
-with follows from the totals of the segments before it, across partitions, by
-prefix sums.  So a window misses its proportions only where a segment has less
+largest deficits.  Deficits carry from window to window; what the segments
+before, across partitions, leave owing follows from their totals by prefix sums
+and is paid off evenly over the windows of a segment.  So a window misses its proportions only where a segment has less
 of a source than its target.  ``targets`` gives weights of sources; without it
 the target proportions are those of the whole corpus, since every id is packed
 once.  A source that ``targets`` doesn't name has no quantum and fills what room
@@ -37,25 +37,31 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def takes(have: np.ndarray, due: np.ndarray, share: np.ndarray, window: int) -> np.ndarray:
     """Ids that each window takes from each queue (windows x sources).
 
-    have: ids of each queue; due: ids owed to each before the first window;
-    share: target proportions.
+    have: ids of each queue; due: ids owed to each before the first window, paid
+    off evenly over all windows; share: target proportions.
     """
-    left, deficit, out = have.astype(np.int64), due.astype(float), []
-    quantum, total = share * window, int(have.sum())
+    left, deficit, out = have.astype(np.int64), np.zeros(len(have)), []
+    total = int(have.sum())
+    quantum = share * window + due / max(1, -(-total // window))
     while total:
         room = min(window, total)
         deficit = deficit + quantum
-        take = np.clip(np.floor(deficit), 0, left).astype(np.int64)
-        order = np.argsort(-deficit, kind="stable")
-        # the largest deficits go first where all together are more than the room
-        take[order] = np.diff(np.minimum(np.cumsum(take[order]), room), prepend=0)
-        rest = room - int(take.sum())
-        if rest:
-            order = np.argsort(-(deficit - take), kind="stable")
-            more = (left - take)[order]
-            take[order] += np.diff(np.minimum(np.cumsum(more), rest), prepend=0)
+        take = np.zeros(len(left), np.int64)
+        while (rest := room - int(take.sum())) > 0:
+            open_ = left > take
+            # what the deficits leave of the room, or lack of it, is shared in the target proportions of the queues that have ids
+            weight = np.where(open_, share, 0.0) if share[open_].sum() > 0 else open_.astype(float)
+            deficit += (room - take[~open_].sum() - deficit[open_].sum()) * weight / weight.sum()
+            more = np.clip(np.floor(deficit), take, left).astype(np.int64)
+            order = np.argsort(-deficit, kind="stable")
+            if more.sum() <= take.sum():
+                # less than an id for each
+                more[order[open_[order]][:rest]] += 1
+            # the largest deficits go first where all together are more than the room
+            grown = (more - take)[order]
+            take[order] += np.diff(np.minimum(np.cumsum(grown), rest), prepend=0)
         left -= take
-        deficit -= take
+        deficit = deficit - take
         total -= room
         out.append(take)
     return np.array(out, np.int64).reshape(-1, len(have))
@@ -77,7 +83,7 @@ def fill_windows(queue: np.ndarray, sizes: np.ndarray, due: np.ndarray, share: n
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, segment_ids: int = 2_000_000, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, segment_ids: int = 4_000_000, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pack whole documents into sequences of at most ``window`` tokens; one row per piece."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,8 +119,9 @@ def test_windows_hold_the_target_proportions():
     assert (taken.sum(axis=0) == have).all() and (taken.sum(axis=1)[:-1] == 2048).all()
     whole = taken[(np.cumsum(taken, axis=0) < have).all(axis=1)]
     assert len(whole) > 200 and (np.abs(whole / 2048 - share).sum(axis=1) / 2).mean() < 0.01
-    # a deficit that earlier segments left is paid first
-    assert takes(have, np.array([0.0, 0, 0, 0, 0, 0, 0, 500]), share, 2048)[0, 7] >= 500
+    # a deficit that earlier segments left is paid off over the windows
+    more = takes(have, np.array([0.0, 0, 0, 0, 0, 0, -3000, 3000]), share, 2048)
+    assert (more[:100, 7] >= 50).all() and (more[:100, 6] <= 73).all()
 
 
 def test_proportions_of_windows_over_a_table(spark):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +43,76 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def nearest_concepts(rows: DataFrame, concepts: DataFrame, row_id: str, vector: str, most: int = 10_000) -> DataFrame:
-    """row_id, concept, score, second: the best concept of each row and the score of the next one.
+#: Rows and centroids of a block.
+BLOCK = 2_000
 
-    The ontology is a dimension: its centroids travel as one array of at most
-    ``most`` entries, so each row is scored in place, without a shuffle.
-    """
-    every = concepts.orderBy("concept").limit(most + 1).collect()
-    if len(every) > most:
-        raise ValueError(f"an ontology of more than {most} concepts is no dimension")
-    scored = F.array(*[F.struct(cosine(F.col(vector), F.array(*map(F.lit, c["v"]))).alias("score"), F.lit(c["concept"]).alias("concept")) for c in every])
-    ranked = F.array_sort(scored, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["concept"] < y["concept"], -1).when(x["concept"] > y["concept"], 1).otherwise(0))
-    out = rows.select(row_id, ranked.alias("r"))
-    return out.select(row_id, F.col("r")[0]["concept"].alias("concept"), F.col("r")[0]["score"].alias("score"), F.try_element_at("r", F.lit(2))["score"].alias("second"))
 
+def nearest_concepts(rows: DataFrame, concepts: DataFrame, row_id: str, vector: str, best: int = 5) -> DataFrame:
+    """row_id, concept, score, second, ranked: the best concepts of each row by cosine, ties by name; ranked has the first ``best``.
 
-def confident(score: Column, second: Column) -> Column:
-    return (score >= TOP) & (second.isNull() | (score - second >= GAP))
+    Rows and centroids are packed in blocks, and each block of rows meets each
+    block of centroids in one matrix product.  The usual ontology is one block,
+    which travels to the rows; of several the best are merged.  A vector that is
+    null, of zeros or of another length than the centroids has no concept.
+    """
+    kind, named = rows.schema[row_id].dataType.simpleString(), concepts.schema["concept"].dataType.simpleString()
+    names_and = lambda c, v: f"ids array<{c}>, {v} binary, d int"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1)
+            sizes = np.array([len(x) if x is not None else 0 for x in v.to_pylist()])
+            for d in np.unique(sizes[sizes > 0]):
+                at = pa.array(np.flatnonzero(sizes == d))
+                ids, m = batch.column(0).take(at), np.array(v.take(at).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
+                length = np.linalg.norm(m, axis=1)
+                good = np.flatnonzero(np.isfinite(length) & (length > 0))
+                for i in range(0, len(good), BLOCK):
+                    some = good[i : i + BLOCK]
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), ids.take(pa.array(some)))
+                    yield pa.RecordBatch.from_arrays([lists, pa.array([(m[some] / length[some, None]).tobytes()], pa.binary()), pa.array([int(d)], pa.int32())], ["ids", "m", "d"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[k]).reshape(-1, row["d"]) for k in ("m", "c"))
+                names = row["names"]
+                order = np.array(sorted(range(len(names)), key=names.__getitem__))
+                s = x @ y[order].T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :best]
+                found = [[{"score": float(s[i, k]), "concept": names[order[k]]} for k in t] for i, t in enumerate(top)]
+                pairs = pa.list_(pa.struct([("score", pa.float64()), ("concept", batch.schema.field("names").type.value_type)]))
+                ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pairs)], ["_id", "ranked"])
+
+    doubles = lambda df, i, v: df.select(i, F.col(v).cast("array<double>").alias("v"))
+    left = doubles(rows, row_id, vector).mapInArrow(pack, names_and(kind, "m"))
+    n = concepts.count()
+    right = doubles(concepts, "concept", "v").repartition(max(1, -(-n // BLOCK))).mapInArrow(pack, names_and(named, "m")).select(F.col("ids").alias("names"), F.col("m").alias("c"), "d")
+    out = left.join(F.broadcast(right) if n <= BLOCK else right, "d").select("ids", "m", "names", "c", "d").mapInArrow(score, f"_id {kind}, ranked array<struct<score:double,concept:{named}>>")
+    order = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["concept"] < y["concept"], -1).otherwise(1)
+    out = out.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ranked")), order), 1, best).alias("ranked"))
+    first = lambda n, c: F.try_element_at("ranked", F.lit(n))[c]
+    return out.select(F.col("_id").alias(row_id), first(1, "concept").alias("concept"), first(1, "score").alias("score"), first(2, "score").alias("second"), "ranked")
+
+
+def confident(score: Column, second: Column, top: float = TOP) -> Column:
+    return (score >= top) & (second.isNull() | (score - second >= GAP))
 
 
 def questions(rows: DataFrame, book: str = "book") -> DataFrame:
     """A numbered question for each unmapped row, in row order."""
     nth = F.row_number().over(Window.partitionBy(book).orderBy("row"))
     return rows.where("concept is null").withColumn("question_id", F.format_string("q_%03d", nth))
+
+
+def cascade(rows: DataFrame, *sources: tuple[str, str]) -> DataFrame:
+    """rows with concept and source: the first of the columns (name, column) that maps a row, else source question.
+
+    The columns hold what the glossary, the rules, the nearest centroid and any
+    other source say, null where they say nothing; gmv is never taken for revenue.
+    """
+    kept = [F.when(guard_gmv(F.col("label_key"), F.col(c)) == F.col(c), F.col(c)) for _, c in sources]
+    concept = guard_gmv(F.col("label_key"), F.coalesce(*kept))
+    source = F.coalesce(*[F.when(k.isNotNull(), name) for (name, _), k in zip(sources, kept)], F.when(concept.isNotNull(), "rule"), F.lit("question"))
+    return rows.withColumn("source", source).withColumn("concept", concept)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import a1, dates, labels, numeric, periods
-from ..operators import detectors, frs, graph, identities, lineage, mapping, rollup, series
+from ..operators import detectors, frs, graph, identities, lineage, mapping, report, rollup, series
 from . import formula_queries  # noqa: F401  registers its queries
 from . import statements as st
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -115,8 +115,10 @@ def detector_stress_rate(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
-    yearly = st.facts(spark, sf_dir, [c for c in frs.YEARLY if c in st.CONCEPTS])
-    return frs.frs_matrix(yearly, st.facts(spark, sf_dir, list(frs.MONTHLY), monthly=True))
+    # a row a book and month, read for the years and for the months
+    sums = graph.stage(st.months(spark, sf_dir))
+    yearly = st.facts(spark, sf_dir, [c for c in frs.YEARLY if c in st.CONCEPTS], sums=sums)
+    return frs.frs_matrix(yearly, st.facts(spark, sf_dir, list(frs.MONTHLY), monthly=True, sums=sums))
 
 
 def _matrix_sql() -> str:
@@ -286,7 +288,7 @@ def concept_centroid_knn(spark, sf_dir):
 def knn_confident_match(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     out = mapping.nearest_concepts(e, mapping.centroids(e, "label", "embedding"), "vec_id", "embedding")
-    return out.where((F.col("score") >= 0.4) & (F.col("score") - F.col("second") >= mapping.GAP)).select("vec_id", "concept")
+    return out.where(mapping.confident(F.col("score"), F.col("second"), top=0.4)).select("vec_id", "concept")
 
 
 # --- graphs
@@ -358,6 +360,59 @@ def severity_freeze(spark, sf_dir):
     return detectors.freeze_severity(_candidates(spark, sf_dir)).select("ord", "severity")
 
 
+# --- report: orders are candidates of the books of their customers
+
+
+_DETECTORS = ("identity.I1", "excel_error", "unused_cell", "frs.F03", "circular", "external_link", "literal_in_ast")
+
+
+def _report(spark, sf_dir):
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    detector = F.element_at(F.array(*map(F.lit, _DETECTORS)), (kind + 1).cast("int"))
+    severity = F.when(kind.isin(0, 1), "error").when(kind.isin(4, 5, 6), "warning").otherwise("risk")
+    out = F.concat(F.lit("O!B"), F.col("o_custkey").cast("string"))
+    c = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("book"), k.alias("ord"), detector.alias("detector"), severity.alias("severity"), F.array(F.concat(F.lit("S!A"), k.cast("string"))).alias("cell_refs"), F.array(out).alias("outputs"), F.when(kind == 6, F.array(F.lit("pnl.ebitda"))).alias("metrics"))
+    refs = c.where("ord % 3 <> 0").select("book", F.col("cell_refs")[0].alias("ref"))
+    return report.findings(c, refs)
+
+
+_REPORT = f"""d AS (SELECT o_custkey % 25 AS book, o_orderkey AS ord, o_custkey AS cust, ({list(_DETECTORS)})[o_orderkey % 7 + 1] AS detector, CASE WHEN o_orderkey % 7 < 2 THEN 'error' WHEN o_orderkey % 7 > 3 THEN 'warning' ELSE 'risk' END AS severity FROM orders WHERE o_orderkey % 3 <> 0),
+    f AS (SELECT *, detector = 'frs.F03' AS frs, CASE WHEN detector = 'frs.F03' THEN 'F03' ELSE format('f_{{:03d}}', row_number() OVER (PARTITION BY book, detector = 'frs.F03' ORDER BY ord)) END AS id FROM d)"""
+
+
+@query(f"WITH {_REPORT} SELECT book, ord, id, detector, severity FROM f")
+def report_findings(spark, sf_dir):
+    return _report(spark, sf_dir).select("book", "ord", "id", "detector", "severity")
+
+
+@query(f"WITH {_REPORT} SELECT a.book, a.id, string_agg(b.id, ',' ORDER BY b.id) AS related_ids FROM f a JOIN f b ON a.book = b.book AND a.cust = b.cust AND a.id <> b.id WHERE NOT a.frs AND NOT b.frs GROUP BY 1, 2")
+def report_related(spark, sf_dir):
+    return report.related(_report(spark, sf_dir)).select("book", "id", F.array_join("related_ids", ",").alias("related_ids"))
+
+
+@query(f"""WITH {_REPORT}, x AS (SELECT DISTINCT a.book, unnest([a.ord, b.ord]) AS ord FROM f a JOIN f b ON a.book = b.book AND a.cust = b.cust WHERE b.detector = 'external_link' AND a.detector NOT IN ('external_link', 'unused_cell')),
+    g AS (SELECT f.book, 'combo' AS kind, 'external_assumption' AS title, 2 AS k, f.ord FROM f JOIN x USING (book, ord) UNION ALL SELECT book, CASE WHEN frs THEN 'dynamics' ELSE 'trust' END, detector, CASE WHEN frs THEN 4 ELSE 3 END, ord FROM f WHERE detector <> 'unused_cell' AND (book, ord) NOT IN (SELECT (book, ord) FROM x)),
+    c AS (SELECT book, kind, title, k, min(ord) AS first, count(*) AS findings FROM g GROUP BY 1, 2, 3, 4), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY k, first) AS INTEGER) AS nth FROM c) SELECT book, nth, kind, title, findings FROM n WHERE nth <= 8""")
+def report_conclusions(spark, sf_dir):
+    return report.conclusions(_report(spark, sf_dir)).select("book", "nth", "kind", "title", F.size("finding_ids").cast("long").alias("findings"))
+
+
+@query(f"WITH {_REPORT} SELECT book, detector AS kind, count(DISTINCT cust) AS questions FROM f WHERE severity = 'error' GROUP BY 1, 2")
+def report_questions(spark, sf_dir):
+    q = _report(spark, sf_dir).where("severity = 'error'").select("book", "ord", F.col("detector").alias("kind"), F.col("outputs").alias("cell_refs"), F.col("id").alias("prompt"))
+    return report.merged_questions(q, q.where("ord % 2 = 0")).groupBy("book", "kind").agg(F.count(F.lit(1)).alias("questions"))
+
+
+@query(f"""WITH {_REPORT}, b AS (SELECT book, bool_or(detector IN ('identity.I1', 'excel_error')) AS broken, arg_min(id, ord) FILTER (severity = 'error') AS err FROM f WHERE NOT frs GROUP BY 1),
+    i AS (SELECT book, arg_min(id || '@' || ord, ord) FILTER (ord % 4 = 0) AS iss FROM f WHERE frs GROUP BY 1), k AS (SELECT DISTINCT book FROM f)
+    SELECT book, CASE WHEN broken OR iss IS NOT NULL THEN false END AS ready_for_credit, CASE WHEN book % 2 = 0 THEN 'needs_input' ELSE 'succeeded' END AS status, coalesce(err, iss) AS headline FROM k LEFT JOIN b USING (book) LEFT JOIN i USING (book)""")
+def report_verdict(spark, sf_dir):
+    found = _report(spark, sf_dir)
+    matrix = found.select("book", F.lit("F03").alias("control_id"), F.lit("flagged").alias("status")).distinct()
+    issues = found.where("frs").select("book", F.concat_ws("@", "id", "ord").alias("id"), F.when(F.col("ord") % 4 == 0, "high").otherwise("low").alias("priority"), "ord")
+    return report.verdict(found, matrix, issues, found.where("book % 2 = 0").select("book").distinct()).select("book", "ready_for_credit", "status", "headline")
+
+
 @query("""WITH i AS (SELECT o_orderkey, o_custkey % 25 AS book, o_orderpriority, o_totalprice FROM orders) SELECT book, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY o_orderpriority, o_orderkey) AS n FROM i) WHERE n <= 20""")
 def topn_issues(spark, sf_dir):
     i = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("book"), "o_orderpriority")

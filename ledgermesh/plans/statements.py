@@ -48,27 +48,37 @@ CONCEPTS = {
 }
 
 
-def base(spark: SparkSession, sf_dir: str, monthly: bool = False) -> DataFrame:
-    """book, period_key, role, rev, gross, qty, tax and running sums: one row per book and period."""
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, month, rev, gross, qty, tax: exact sums, one row a book and month; years are sums of them.
+
+    Lines meet their orders first and are summed by book and month, so that all
+    but partial sums of few groups stays in place.
+    """
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    key = F.date_format("l_shipdate", "yyyy-MM") if monthly else F.date_format("l_shipdate", "yyyy")
     dec = lambda c: F.col(c).cast("decimal(18,2)")
     net = dec("l_extendedprice") * (F.lit(1).cast("decimal(5,2)") - F.col("l_discount").cast("decimal(5,2)"))
-    lines = t("lineitem").select("l_orderkey", key.alias("period_key"), net.alias("net"), dec("l_extendedprice").alias("gross"), dec("l_quantity").alias("qty"), (net * F.col("l_tax").cast("decimal(5,2)")).alias("tax"))
-    # order totals first: what meets the customers is a row per order and period
-    lines = lines.groupBy("l_orderkey", "period_key").agg(*[F.sum(c).alias(c) for c in ("net", "gross", "qty", "tax")])
+    lines = t("lineitem").select("l_orderkey", F.date_format("l_shipdate", "yyyy-MM").alias("month"), net.alias("rev"), dec("l_extendedprice").alias("gross"), dec("l_quantity").alias("qty"), (net * F.col("l_tax").cast("decimal(5,2)")).alias("tax"))
     books = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", F.col("c_nationkey").alias("book")), F.col("o_custkey") == F.col("c_custkey"))
-    sums = lines.join(books, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("book", "period_key").agg(F.sum("net").alias("rev"), *[F.sum(c).alias(c) for c in ("gross", "qty", "tax")])
+    return lines.join(books, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("book", "month").agg(*[F.sum(c).alias(c) for c in NAMES])
+
+
+NAMES = ("rev", "gross", "qty", "tax")
+
+
+def base(spark: SparkSession, sf_dir: str, monthly: bool = False, sums: DataFrame | None = None) -> DataFrame:
+    """book, period_key, role, rev, gross, qty, tax and running sums: one row per book and period; sums: months, where they are there already."""
+    sums = months(spark, sf_dir) if sums is None else sums
+    key = F.col("month") if monthly else F.col("month").substr(1, 4)
+    sums = sums.groupBy("book", key.alias("period_key")).agg(*[F.sum(c).alias(c) for c in NAMES])
     upto = Window.partitionBy("book").orderBy("period_key").rowsBetween(Window.unboundedPreceding, 0)
-    names = ("rev", "gross", "qty", "tax")
-    return sums.select("book", "period_key", F.when(F.col("period_key").substr(1, 4) <= "1999", "historical").otherwise("forecast").alias("role"), *[F.col(c).cast("double").alias(c) for c in names], *[F.sum(c).over(upto).cast("double").alias(f"{c}_c") for c in names])
+    return sums.select("book", "period_key", F.when(F.col("period_key").substr(1, 4) <= "1999", "historical").otherwise("forecast").alias("role"), *[F.col(c).cast("double").alias(c) for c in NAMES], *[F.sum(c).over(upto).cast("double").alias(f"{c}_c") for c in NAMES])
 
 
-def facts(spark: SparkSession, sf_dir: str, concepts: list[str] | None = None, monthly: bool = False) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, concepts: list[str] | None = None, monthly: bool = False, sums: DataFrame | None = None) -> DataFrame:
     """Long facts: book, concept, period_key, role, value."""
     names = concepts or list(CONCEPTS)
     rows = F.array(*[F.struct(F.lit(c).alias("concept"), F.expr(CONCEPTS[c]).cast("double").alias("value")) for c in names])
-    return base(spark, sf_dir, monthly).select("book", "period_key", "role", F.inline(rows))
+    return base(spark, sf_dir, monthly, sums).select("book", "period_key", "role", F.inline(rows))
 
 
 def base_sql(monthly: bool = False) -> str:

@@ -1 +1 @@
-"""Streaming of the audit engine."""
+"""Streaming operators of the audit engine."""

@@ -13,8 +13,8 @@
    the least group of a shingle only, then in ``rounds`` turns another group of
    a shingle that still has several components, one try for each: their number
    is linear.
-4. What is left stays in groups: two groups that are not wholly in one component
-   are a candidate at the first shingle their prefixes share.  What they share
+4. What is left stays in groups, by component: members of two groups that lie in
+   different components are a candidate at the first shingle their prefixes share.  What they share
    lies at or behind it in both, so that shingle must be early enough in both
    sets (few of the shingles that many documents share are), and a shingle
    before which both have a common one is passed over.  Inside a group of
@@ -188,33 +188,29 @@ def _reach(k: Column, pa: Column, pb: Column, na: Column, nb: Column) -> Column:
 BEFORE = 4
 
 
-def _open(spots: DataFrame, members: DataFrame, part: DataFrame) -> DataFrame:
-    """token, pos, gid, n, least, most, before of the shingles whose groups lie in several components.
+def _open(spots: DataFrame, at: DataFrame) -> DataFrame:
+    """token, pos, gid, n, component, rep, before of the shingles whose groups lie in several components.
 
-    least and most: of the components of a group's members; before: the group's
-    last few of these shingles before this one.
+    at: gid, id, component.  The members of a group that lie in one component go
+    together, named by their least id, rep; before: the group's last few of these
+    shingles before this one.
     """
-    span = members.join(part, "id", "left").groupBy("gid").agg(*[f(F.coalesce("component", "id")).alias(c) for c, f in (("least", F.min), ("most", F.max))])
-    every = spots.select("token", "gid", "pos", "n").join(span, "gid")
-    several = every.groupBy("token").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x <> y").select("token")
-    before = F.collect_list("token").over(Window.partitionBy("gid").orderBy("pos").rowsBetween(-BEFORE, -1))
+    parts = at.groupBy("gid", "component").agg(F.min("id").alias("rep"))
+    every = spots.select("token", "gid", "pos", "n").join(parts, "gid")
+    several = every.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    before = F.collect_list("token").over(Window.partitionBy("gid", "component").orderBy("pos").rowsBetween(-BEFORE, -1))
     return written(every.join(several, "token").withColumn("before", before), "join-open")
 
 
-def _apart(x: str, y: str) -> Column:
-    """Whether two groups are not wholly in one component."""
-    c = lambda a, b: F.col(f"{a}.{b}")
-    return ~((c(x, "least") == c(y, "most")) & (c(x, "most") == c(y, "least")))
-
-
 def _shared(groups: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The pairs of groups (g, h) whose prefixes share enough: all they share in different components is in mixed."""
-    lists = written(mixed.groupBy("gid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s")), "join-lists")
+    """The pairs of groups (g, h, ...) whose prefixes share enough: all they share in different components is in mixed."""
+    lists = written(mixed.groupBy("gid").agg(F.first("n").alias("n"), F.collect_set("token").alias("s")), "join-lists")
     of = lambda g, c: lists.select(F.col("gid").alias(g), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
     both = groups.join(of("g", "a"), "g").join(of("h", "b"), "h")
-    both = both.withColumn("common", F.array_intersect("sa.token", "sb.token"))
-    last = lambda s: F.element_at(F.filter(s, lambda x: F.array_contains("common", x["token"])), -1)["pos"]
-    return both.where(_possible(F.col("na"), F.col("nb"), _reach(F.size("common"), last("sa"), last("sb"), F.col("na"), F.col("nb")))).select("g", "h")
+    behind = lambda n: F.col(n) - (F.floor(F.col(n) / 4) + 1)
+    # what the sets share is in both prefixes, or behind the prefix that ends first in the common order
+    most = F.size(F.array_intersect("sa", "sb")) + F.greatest(behind("na"), behind("nb"))
+    return both.where(_possible(F.col("na"), F.col("nb"), most)).select(*groups.columns)
 
 
 def _inside(at: DataFrame, docs: DataFrame, often: np.ndarray) -> DataFrame:
@@ -289,32 +285,36 @@ def near_duplicates(docs: DataFrame, frequent: int = 200_000, rounds: int = 1, i
     part = components(_linked(star, named))
     discard(star)
 
-    # rounds against other groups of each shingle whose groups are not in one component yet
+    def placed(part: DataFrame) -> DataFrame:
+        return written(members.join(part, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component")), "join-at")
+
+    # rounds against another group of each shingle whose groups are not in one component yet
     for turn in range(rounds):
-        mixed = _open(spots, members, part)
-        pivot = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "least", "most", "n", "pos")).alias("p"))
-        tried = mixed.alias("m").join(pivot, "token").where((F.col("gid") != F.col("p.gid")) & _apart("m", "p")).where(_possible(F.col("n"), F.col("p.n"), _room(F.col("pos"), F.col("p.pos"), F.col("n"), F.col("p.n"))))
-        tried = tried.groupBy("gid", "n", F.col("p.gid").alias("b"), F.col("p.n").alias("nb")).agg(F.count(F.lit(1)).alias("k"), F.max("pos").alias("pa"), F.max("p.pos").alias("pb"))
+        at = placed(part)
+        mixed = _open(spots, at)
+        pivot = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)), "component", "rep", "n", "pos")).alias("p"))
+        tried = mixed.join(pivot, "token").where("component <> p.component").where(_possible(F.col("n"), F.col("p.n"), _room(F.col("pos"), F.col("p.pos"), F.col("n"), F.col("p.n"))))
+        tried = tried.groupBy("gid", "component", "n", F.col("p.rep").alias("b"), F.col("p.n").alias("nb")).agg(F.count(F.lit(1)).alias("k"), F.max("pos").alias("pa"), F.max("p.pos").alias("pb"))
         # what is not tried here is left to the end
-        tried = tried.where(_possible(F.col("n"), F.col("nb"), _reach(*map(F.col, ("k", "pa", "pb", "n", "nb"))))).groupBy("gid").agg(F.max(F.struct("k", "b"))["b"].alias("b"))
-        tried = written(tried.join(members, "gid").select(F.col("id").alias("a"), "b"), "join-round")
+        tried = tried.where(_possible(F.col("n"), F.col("nb"), _reach(*map(F.col, ("k", "pa", "pb", "n", "nb"))))).groupBy("gid", "component").agg(F.max(F.struct("k", "b"))["b"].alias("b"))
+        tried = written(tried.join(at, ["gid", "component"]).select(F.col("id").alias("a"), "b"), "join-round")
         links = _linked(tried, named)
         part = _merged(part, links)
         done = links.isEmpty()
-        discard(mixed, tried)
+        discard(mixed, at, tried)
         if done:
             break
 
     # what is left: pairs of groups at the first shingle they share, and pairs of members of one group
-    mixed = _open(spots, members, part)
+    at = placed(part)
+    mixed = _open(spots, at)
     x, y = mixed.alias("x"), mixed.alias("y")
     early = _possible(F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")))
     first = ~F.arrays_overlap("x.before", "y.before")
-    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") > F.col("y.gid")) & _apart("x", "y") & early & first)
-    groups = _shared(groups.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct(), mixed)
-    at = written(members.join(part, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component")), "join-at")
+    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") > F.col("y.gid")) & (F.col("x.component") != F.col("y.component")) & early & first)
+    groups = groups.select(F.col("x.gid").alias("g"), F.col("x.component").alias("ca"), F.col("y.gid").alias("h"), F.col("y.component").alias("cb")).distinct()
     of = lambda g, i, c: at.select(F.col("gid").alias(g), F.col("id").alias(i), F.col("component").alias(c))
-    rest = groups.join(of("g", "a", "ca"), "g").join(of("h", "b", "cb"), "h").where("ca <> cb").select("a", "b")
+    rest = _shared(groups, mixed).join(of("g", "a", "ca"), ["g", "ca"]).join(of("h", "b", "cb"), ["h", "cb"]).select("a", "b")
     rest = written(rest.unionByName(_inside(at, named, often)).distinct(), "join-rest")
     if not rest.isEmpty():
         part = _merged(part, _linked(rest, named))

@@ -15,6 +15,7 @@ def normalize_label(label: Column) -> Column:
 def article_role(label: Column, check_row: Column, has_formula: Column) -> Column:
     """check, output, actual_adjustment, assumption, database_like (no formula in the row) or calculation."""
     low = normalize_label(label)
+    # fixed values: the words of each role
     return (
         F.when(check_row, "check")
         .when(low.rlike(r"итого|total|всего"), "output")

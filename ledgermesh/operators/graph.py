@@ -12,22 +12,29 @@ _own: dict[str, str] = {}
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage: a table in the folder of spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Cut lineage: a table in the folder of spark.checkpoint.dir; where that is unset, a local master gets a temporary one."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not df.sparkSession.sparkContext.master.startswith("local[") and df.sparkSession.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, strangers: bool = False) -> DataFrame:
     """(source, node) for all nodes reachable from the starts, many sources at once; a start reaches itself.
 
-    edges: src, dst; starts: source, node.
+    edges: src, dst; starts: source, node.  Starts that no edge names are left
+    out, or reach themselves where strangers is true.
     """
-    edges = stage(edges.select("src", "dst").where("src <> dst").distinct())
-    seen = front = stage(starts.select("source", "node").distinct())
+    given = edges.select("src", "dst").distinct()
+    edges = stage(given.where("src <> dst"))
+    starts = starts.select("source", "node").distinct()
+    if not strangers:
+        starts = starts.join(given.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi").select("source", "node")
+    seen = front = stage(starts)
     while True:
         step = front.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         front = stage(step.join(seen, ["source", "node"], "left_anti"))
@@ -37,8 +44,8 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def reverse_reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """The same against the direction of the edges."""
-    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
+    """The same against the direction of the edges; a start that no edge names reaches itself."""
+    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, True)
 
 
 def circular_groups(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Workbooks (xlsx, xlsm) as cell rows: one file is read by one task, many files by many.
 
-A file that cannot be read gives one row with its error and detail, and no cell;
-it never stops the job.  Formulas are not evaluated: the cached value is a string.
+A file that cannot be read gives one row with its error and detail; it never
+stops the job.  Where only a later sheet is broken the cells before it are there
+too: ``whole_books`` leaves out all cells of a book with an error.  Formulas are not evaluated: the cached value is a string.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.a1 import uses_semicolon
 
 CELLS = "book string, sheet string, row int, col int, addr string, formula_raw string, cached_value string, hidden boolean, number_format string, comment string, error string, detail string"
 
@@ -81,24 +85,45 @@ def opened(content: bytes) -> zipfile.ZipFile:
     return z
 
 
+def _bare(e: ElementTree.Element) -> None:
+    """Drop the namespaces of an element."""
+    e.tag = e.tag.rpartition("}")[2]
+    for k in [k for k in e.attrib if k.startswith("{")]:
+        e.attrib[k.rpartition("}")[2] if k.endswith("}id") else k] = e.attrib.pop(k)
+
+
 class _Book:
     def __init__(self, z: zipfile.ZipFile):
         self.z, self.names = z, set(z.namelist())
 
+    def raw(self, name: str) -> bytes:
+        raw = self.z.read(name)
+        if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
+            raise Unreadable("xml_rejected", name)
+        return raw
+
     def part(self, name: str) -> ElementTree.Element:
         """The elements of a part without their namespaces; an absent part is empty."""
         if name not in self.names:
             return ElementTree.Element("none")
-        raw = self.z.read(name)
-        if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-            raise Unreadable("xml_rejected", name)
-        root = ElementTree.fromstring(raw)
+        root = ElementTree.fromstring(self.raw(name))
         for e in root.iter():
-            e.tag = e.tag.rpartition("}")[2]
-            for k in [k for k in e.attrib if k.startswith("{")]:
-                e.attrib[k.rpartition("}")[2] if k.endswith("}id") else k] = e.attrib.pop(k)
+            _bare(e)
         return root
 
+    def elements(self, name: str, *tags: str) -> Iterator[ElementTree.Element]:
+        """The elements with these tags in their order, each let go when the next comes: a sheet is never a tree as a whole."""
+        above = None
+        for event, e in ElementTree.iterparse(io.BytesIO(self.raw(name)), ("start", "end")):
+            if event == "start":
+                above = e if e.tag.rpartition("}")[2] in ("sheetData", "cols") else above
+            elif e.tag.rpartition("}")[2] in tags:
+                for inner in e.iter():
+                    _bare(inner)
+                yield e
+                if above is not None:
+                    above.clear()
+
     def targets(self, name: str) -> dict[str, tuple[str, str]]:
         """Relation id -> (kind, part) of a part; what leaves the archive is left out."""
         folder, file = posixpath.split(name)
@@ -116,11 +141,15 @@ def _text(e: ElementTree.Element | None) -> str | None:
 
 
 def _sheet(book: _Book, name: str, part: str, hidden: bool, strings: list[str], formats: list[str | None]) -> Iterator[tuple]:
-    root = book.part(part)
-    away = {c for e in root.iter("col") if e.get("hidden") in ("1", "true") for c in range(int(e.get("min")), int(e.get("max")) + 1)}
+    away: set[int] = set()
     notes = {c.get("ref"): _text(c) for kind, path in book.targets(part).values() if kind == "comments" for c in book.part(path).iter("comment")}
     master: dict[str, tuple[str, int, int]] = {}
-    for line in root.iter("row"):
+    # the columns stand before the rows
+    for line in book.elements(part, "col", "row"):
+        if line.tag == "col":
+            if line.get("hidden") in ("1", "true"):
+                away.update(range(int(line.get("min")), int(line.get("max")) + 1))
+            continue
         for c in line.iter("c"):
             at = re.fullmatch(r"([A-Za-z]{1,3})(\d+)", c.get("r", ""))
             if not at:
@@ -185,3 +214,40 @@ def read_cells(spark: SparkSession, path: str, rows_at_once: int = 20_000) -> Da
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(make, CELLS)
+
+
+def whole_books(cells: DataFrame) -> DataFrame:
+    """Cells of the books that have no error."""
+    return cells.join(cells.where("error is not null").select("book").distinct(), "book", "left_anti")
+
+
+def book_flags(cells: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row a book: first_ref (in the order of row and column), locale (ru where a formula has a semicolon outside of text).
+
+    files, where given, has book and paths (the parts of the archive) and adds
+    has_vba and has_xlm.
+    """
+    c = cells.where("error is null")
+    first = F.min(F.when(F.col("addr").isNotNull(), F.struct("sheet", "row", "col", "addr")))
+    out = c.groupBy("book").agg(F.concat(first["sheet"], F.lit("!"), first["addr"]).alias("first_ref"), F.when(F.bool_or(uses_semicolon(F.col("formula_raw"))), "ru").otherwise("en").alias("locale"))
+    if files is None:
+        return out
+    has = lambda pattern: F.exists("paths", lambda p: F.lower(p).rlike(pattern))
+    return out.join(files.select("book", has(r"(^|/)vbaproject\.bin$").alias("has_vba"), has("macrosheet").alias("has_xlm")), "book", "left")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """book and the paths of its parts, for files that are archives."""
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"]):
+                try:
+                    rows.append((name, opened(bytes(content)).namelist()))
+                except (Unreadable, zipfile.BadZipFile):
+                    continue
+            yield pd.DataFrame(rows, columns=["book", "paths"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(make, "book string, paths array<string>")

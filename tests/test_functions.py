@@ -38,3 +38,16 @@ def test_serials(spark):
 def test_shift_and_back(col, row, dc, dr):
     f = f'=SUM({a1._letters(col)}{row},$B${row})&"A1"'
     assert a1.shifted(a1.shifted(f, dc, dr), -dc, -dr) == f
+
+
+def test_dated_headers_with_suffixes_and_words(spark):
+    from ledgermesh.functions.periods import classify_header
+
+    want = {
+        "2025-03E": ("2025-03", "forecast"), "2025-03A": ("2025-03", "historical"), "2024-12-31F": ("2024-12-31", "forecast"), "5.6.24": ("2024-06-05", "historical"), "05/06/2024P": ("2024-06-05", "forecast"),
+        "Mar 2025E": ("2025-03", "forecast"), "мар-25": ("2025-03", "historical"), "1 кв. 2025 план": ("2025Q1", "forecast"), "Mar 2025 actual": ("2025-03", "historical"), "2 024 факт": ("2024", "historical"),
+        "base case plan": (None, None), "Итого": ("total", "total"), "2025E actual": ("2025", "historical"),
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    got = {r["t"]: (r["h"] and r["h"]["period_key"], r["h"] and r["h"]["role"]) for r in df.select("t", classify_header(df["t"]).alias("h")).collect()}
+    assert got == want

@@ -2,6 +2,7 @@ import zipfile
 
 import pytest
 
+from ledgermesh.sources.workbook import book_flags, read_parts, whole_books
 from ledgermesh.sources.workbook import Unreadable, cells_of, moved, read_cells
 
 REL = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
@@ -42,6 +43,10 @@ def test_cells_and_errors(spark, tmp_path):
     assert (got["C1"]["hidden"], got["B2"]["hidden"], got["B3"]["hidden"], got["A3"]["comment"]) == (True, True, False, "why")
     assert {r["book"][-6:]: (r["error"], r["detail"]) for r in rows if r["error"] and r["error"] != "parse_failed"} == {"c.xlsx": ("zip_rejected", "not a zip"), "d.xlsx": ("zip_rejected", "compression ratio")}
     assert [r["book"][-6:] for r in rows if r["error"] == "parse_failed"] == ["e.xlsx"]
+    cells, parts = read_cells(spark, f"file://{tmp_path}"), read_parts(spark, f"file://{tmp_path}")
+    assert {r["book"][-6:] for r in whole_books(cells).collect()} == {"a.xlsx"}
+    flags = {r["book"][-6:]: r for r in book_flags(cells, parts).collect()}
+    assert (flags["a.xlsx"]["first_ref"], flags["a.xlsx"]["locale"], flags["a.xlsx"]["has_vba"], flags["a.xlsx"]["has_xlm"]) == ("P&L!A1", "en", False, False)
 
 
 def test_no_bytes():

@@ -16,6 +16,7 @@ from ledgermesh.llm.packing import pack, takes
 from ledgermesh.llm.quality import classify_quality
 from ledgermesh.llm.secret_scan import scan_secrets
 from ledgermesh.llm.shingle_join import near_duplicates
+from ledgermesh.llm.suffix_dedup import remove_repeats
 from ledgermesh.llm.tokens import TextEncoder
 
 
@@ -272,3 +273,34 @@ def test_quality_shrinks_sites_to_their_priors(spark):
     held = got[got.doc_id.notna() & (got.doc_id % 2 == 0) & (got.doc_id < 600)]
     truth = held.doc_id.map(lambda i: not rows[int(i)][1].startswith("BUY"))
     assert (held.keep == truth).mean() > 0.95
+
+
+def test_repeats_that_part_at_every_round_of_doubling(spark):
+    """Strings that agree for some 380 to 420 bytes and part before or behind, in one document and in several."""
+    rng = random.Random(12)
+    make = lambda k: "".join(rng.choice("abcdeé ") for _ in range(k))
+    texts = []
+    for _ in range(12):
+        seed = make(460)
+        for _ in range(8):
+            at = rng.choice([0, 10, 40, 63, 64, 65, 127, 129, 200, 255, 257, 300, 399, 401, 430])
+            start, end = rng.randint(0, 40), rng.randint(420, 460)
+            part = list(seed[start:end])
+            if rng.random() < 0.6:
+                part[min(at, len(part) - 1)] = "#"
+            texts.append(make(rng.randint(0, 30)) + "".join(part) + make(rng.randint(0, 30)))
+        texts.append(seed + make(20) + seed)
+    texts += ["ab" * 300, "ba" * 300, "abc" * 200, None, "", "x" * 5000]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])]
+    raw = [(t or "").encode() for _, t in rows]
+    for length in (400, 150, 64):
+        seen = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+        want = []
+        for (i, _), b in zip(rows, raw):
+            gone = np.zeros(len(b), bool)
+            for p in range(len(b) - length + 1):
+                if seen[b[p : p + length]] > 1:
+                    gone[p : p + length] = True
+            want.append((str(i), np.frombuffer(b, np.uint8)[~gone].tobytes()))
+        got = [(str(r["doc_id"]), bytes(r["kept"])) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()]
+        assert sorted(got) == sorted(want), length

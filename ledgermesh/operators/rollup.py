@@ -15,3 +15,28 @@ def year_rollup(monthly: DataFrame) -> DataFrame:
     last, flow = F.max(known)["value"], F.sum("value")
     out = monthly.groupBy("book", "concept", F.col("period_key").substr(1, 4).alias("year")).agg(last.alias("last"), flow.alias("flow"), F.max(F.struct("period_key", "role"))["role"].alias("role"))
     return out.select("book", "concept", F.col("year").alias("period_key"), "role", F.when(F.col("concept").startswith("bs."), F.col("last")).otherwise(F.col("flow")).alias("value"))
+
+
+def year_amounts(facts: DataFrame) -> DataFrame:
+    """book, concept, period_key (year), role, value from facts with keys YYYY, YYYY-MM and YYYYQn.
+
+    A year of its own counts, else its months, else its quarters if all four are
+    there.  Of months and quarters balances take the last number and
+    flows add up, numbers that are missing left out; a year without any number has none.
+    """
+    key = F.col("period_key")
+    kinds = {"y": r"^\d{4}$", "m": r"^\d{4}-\d\d$", "q": r"^\d{4}Q[1-4]$"}
+    aggs = []
+    for k, pattern in kinds.items():
+        on = key.rlike(pattern)
+        known = on & F.col("value").isNotNull()
+        aggs += [
+            F.count_if(on).alias(f"{k}_there"), F.count_distinct(F.when(on, key)).alias(f"{k}_keys"), F.sum(F.when(on, F.col("value"))).alias(f"{k}_sum"),
+            F.max(F.when(known, F.struct("period_key", "value")))["value"].alias(f"{k}_last"), F.max(F.when(on, F.struct("period_key", "role")))["role"].alias(f"{k}_role"),
+        ]
+    g = facts.groupBy("book", "concept", key.substr(1, 4).alias("year")).agg(*aggs)
+    amount = lambda k: F.when(F.col("concept").startswith("bs."), F.col(f"{k}_last")).otherwise(F.col(f"{k}_sum"))
+    year, month, quarter = F.col("y_there") > 0, F.col("m_there") > 0, F.col("q_keys") == 4
+    value = F.when(year, F.col("y_last")).when(month, amount("m")).when(quarter, amount("q"))
+    role = F.when(year, F.col("y_role")).when(month, F.col("m_role")).when(quarter, F.col("q_role"))
+    return g.where(year | month | quarter).select("book", "concept", F.col("year").alias("period_key"), role.alias("role"), value.alias("value"))

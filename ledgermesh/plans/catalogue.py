@@ -175,6 +175,25 @@ def year_rollup_stock_flow(spark, sf_dir):
     return rollup.year_rollup(st.facts(spark, sf_dir, ["pnl.revenue", "bs.inventory"], monthly=True)).withColumn("value", F.round("value", 4))
 
 
+_AMOUNTS = f"""WITH {st.wide_sql(['pnl.revenue', 'bs.inventory'], True)}, l AS (SELECT book, period_key AS k, role, unnest([('pnl.revenue', pnl_revenue), ('bs.inventory', bs_inventory)]) AS c FROM wide), f AS (SELECT book, c[1] AS concept, k, role, c[2] AS v, substr(k, 1, 4) AS y, (CAST(substr(k, 6, 2) AS INTEGER) + 2) // 3 AS q FROM l),
+    q AS (SELECT book, concept, y, q, max(role) AS role, CASE WHEN concept = 'bs.inventory' THEN arg_max(v, k) ELSE sum(v) END AS v FROM f GROUP BY 1, 2, 3, 4),
+    a AS (SELECT book, concept, y, max(role) AS role, CASE WHEN concept = 'bs.inventory' THEN arg_max(v, k) ELSE sum(v) END + CASE WHEN book % 3 = 2 THEN 1 ELSE 0 END AS v FROM f WHERE book % 3 <> 1 GROUP BY 1, 2, 3
+        UNION ALL SELECT book, concept, y, max(role), CASE WHEN concept = 'bs.inventory' THEN arg_max(v, q) ELSE sum(v) END FROM q WHERE book % 3 = 1 GROUP BY 1, 2, 3 HAVING count(*) = 4)
+    SELECT book, concept, y AS period_key, role, round(v, 4) AS value FROM a"""
+
+
+@query(_AMOUNTS)
+def year_amounts(spark, sf_dir):
+    """Books have months, quarters, or years of their own (a unit more) besides months."""
+    f = st.facts(spark, sf_dir, ["pnl.revenue", "bs.inventory"], monthly=True)
+    k = F.col("period_key")
+    quarter = F.concat(k.substr(1, 4), F.lit("Q"), F.ceil(k.substr(6, 2).cast("int") / 3).cast("string"))
+    q = f.where("book % 3 = 1").groupBy("book", "concept", quarter.alias("period_key")).agg(F.max("role").alias("role"), F.when(F.col("concept") == "bs.inventory", F.max_by("value", "period_key")).otherwise(F.sum("value")).alias("value"))
+    y = rollup.year_rollup(f.where("book % 3 = 2")).withColumn("value", F.col("value") + 1)
+    every = f.where("book % 3 <> 1").unionByName(q).unionByName(y)
+    return rollup.year_amounts(every).withColumn("value", F.round("value", 4))
+
+
 # --- addresses, dates, periods, labels
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .axis import aligned
+from .axis import aligned, role_rank
 
 #: Thresholds of the controls.
 PLAN_GAP = DROP = 0.10
@@ -23,7 +23,7 @@ CONTROLS = {
     "F02": ("pnl.revenue", "pnl.ebitda"),
     "F03": ("pnl.ebitda",),
     "F04": ("pnl.net_income", "cf.fcf", "cf.cfo"),
-    "F05": ("pnl.revenue", "pnl.cogs", "bs.ar", "bs.inventory", "bs.ap"),
+    "F05": ("pnl.revenue", "bs.ar"),
     "F06": ("bs.debt", "bs.cash", "pnl.ebitda"),
     "F07": ("pnl.ebitda", "pnl.interest"),
     "F08": ("bs.cash",),
@@ -34,7 +34,9 @@ CONTROLS = {
     "F13": ("cf.dividends", "cf.fcf"),
     "F14": ("bs.cash",),
 }
-YEARLY = ("pnl.revenue", "pnl.ebitda", "pnl.net_income", "cf.fcf", "cf.cfo", "pnl.cogs", "bs.ar", "bs.inventory", "bs.ap", "bs.debt", "bs.cash", "pnl.interest", "cf.dividends", "cf.drawdown", "cf.repayment", "cov.dscr", "covenant.headroom", "fx.rate")
+YEARLY = ("pnl.revenue", "pnl.ebitda", "pnl.net_income", "cf.fcf", "cf.cfo", "pnl.cogs", "bs.ar", "bs.inventory", "bs.ap", "bs.debt", "bs.cash", "pnl.interest", "cf.dividends", "cf.drawdown", "cf.repayment", "cov.dscr", "cov.llcr", "cov.plcr", "covenant.headroom", "fx.rate")
+#: Of these at least two must be there for F05.
+WORKING_CAPITAL = ("bs.ar", "bs.inventory", "bs.ap")
 MONTHLY = ("bs.cash", "cf.repayment", "cf.drawdown")
 
 
@@ -58,6 +60,10 @@ def _last_known(c: Column) -> Column:
 def yearly_flags(yearly: DataFrame) -> DataFrame:
     """book and a struct (period_key, metric) for each control, null where it isn't flagged."""
     w = aligned(yearly, list(YEARLY))
+    # a period may have a plan and a fact: they are held against each other, and the fact counts for all else
+    period = Window.partitionBy("book", "period_key")
+    of_role = lambda role: F.max(F.when(F.col("role") == role, F.col("pnl_revenue"))).over(period)
+    w = w.select("*", (F.try_divide(of_role("forecast"), of_role("historical")) - 1).alias("gap"), F.row_number().over(period.orderBy(role_rank(F.col("role")), "role")).alias("nth")).where("nth = 1")
     r, e = F.col("pnl_revenue"), F.col("pnl_ebitda")
     forecast, lag = F.col("role") == "forecast", lambda c: F.lag(c).over(_slots())
     w = w.withColumn("prev_role", lag("role")).withColumn("yoy", F.try_divide(r, lag("pnl_revenue")) - 1)
@@ -71,12 +77,14 @@ def yearly_flags(yearly: DataFrame) -> DataFrame:
     w = w.withColumn("icr", F.try_divide(e, F.abs("pnl_interest"))).withColumn("fcf0", lag("cf_fcf")).withColumn("cfo0", lag("cf_cfo"))
     drop, cliff = F.col("yoy") <= -DROP, (F.col("prev_role") == "historical") & (F.abs(F.col("yoy") - F.col("prev_yoy")) >= CLIFF)
     e_drop, m_drop = F.col("e_yoy") <= -DROP, F.col("m0") - F.col("m") >= MARGIN_DROP
+    coverage = F.least("cov_dscr", "cov_llcr", "cov_plcr")
     lifted = F.greatest("dso_lift", "dio_lift", "dpo_lift")
     red = forecast & (F.col("pnl_net_income") >= 0) & (F.col("cf_fcf") < 0)
     apart = (F.col("cf_cfo") > F.col("cfo0")) & (F.col("cf_fcf") < F.col("fcf0"))
     ends = lambda f, c: f(F.when(forecast, F.struct("period_key", F.col(c).alias("v"))))["v"]
     g = w.groupBy("book").agg(
-        _first(forecast & (drop | cliff), F.col("yoy")).alias("F01"),
+        _first(F.abs("gap") >= PLAN_GAP, F.col("gap")).alias("plan"),
+        _first(forecast & (drop | cliff), F.col("yoy")).alias("fall"),
         _first(forecast & (e_drop | m_drop), F.when(e_drop, F.col("e_yoy")).otherwise(F.col("m0") - F.col("m"))).alias("F02"),
         _first(forecast & (F.col("prev_role") == "forecast") & (e < 0) & (F.col("e0") < 0), e).alias("F03"),
         F.count_if(red).alias("reds"),
@@ -86,7 +94,7 @@ def yearly_flags(yearly: DataFrame) -> DataFrame:
         _first((F.col("r_up") > 0) & (F.col("ar_up") > F.col("r_up") * AR_SHARE), F.col("ar_up") / F.col("r_up")).alias("ar"),
         _first((F.col("leverage") >= LEVERAGE) | (F.col("leverage") - F.col("leverage0") >= LEVERAGE_JUMP), F.col("leverage")).alias("F06"),
         F.min(F.when(F.col("icr").isNotNull(), F.struct("icr", "period_key"))).alias("icr"),
-        F.min(F.when(F.col("cov_dscr").isNotNull(), F.struct("cov_dscr", "period_key"))).alias("dscr"),
+        F.min(F.when(coverage.isNotNull(), F.struct(coverage.alias("least"), "period_key"))).alias("cover"),
         F.max(F.when(F.col("has_fx_rate"), F.col("period_key"))).alias("fx"),
         (F.avg(F.when(forecast, F.col("yoy"))) - F.avg(F.when(F.col("role") == "historical", F.col("yoy")))).alias("lift"),
         ends(F.min, "pnl_revenue").alias("r_first"),
@@ -104,10 +112,10 @@ def yearly_flags(yearly: DataFrame) -> DataFrame:
     f_up = F.when(F.col("f_first") != 0, (F.col("f_last") - F.col("f_first")) / F.abs("f_first"))
     turns = (F.col("f_first") >= 0) & (F.col("f_last") < 0) & (F.col("f_last0") < 0)
     return g.select(
-        "book", "F01", "F02", "F03",
+        "book", F.coalesce("plan", "fall").alias("F01"), "F02", "F03",
         F.when(F.col("reds") >= 2, F.col("red")).otherwise(F.col("apart")).alias("F04"),
         F.coalesce("days", "ar").alias("F05"), "F06",
-        F.when(F.col("dscr.cov_dscr") < COVERAGE_HIGH, s(F.col("dscr.period_key"), F.col("dscr.cov_dscr"))).when(F.col("icr.icr") < COVERAGE, s(F.col("icr.period_key"), F.col("icr.icr"))).alias("F07"),
+        F.when(F.col("cover.least") < COVERAGE_HIGH, s(F.col("cover.period_key"), F.col("cover.least"))).when(F.col("icr.icr") < COVERAGE, s(F.col("icr.period_key"), F.col("icr.icr"))).alias("F07"),
         F.when(F.col("lift") >= LIFT, s(F.col("end"), F.col("lift"))).alias("F11"),
         F.when((F.col("n_forecast") >= 2) & (r_up >= GROWTH) & ((f_up <= -GROWTH) | turns), s(F.col("end"), r_up)).alias("F12"), "F13",
         F.when(F.col("headroom.covenant_headroom") <= 0, s(F.col("headroom.period_key"), F.col("headroom.covenant_headroom"))).alias("F14"),
@@ -139,7 +147,10 @@ def frs_matrix(yearly: DataFrame, monthly: DataFrame) -> DataFrame:
     flags = yearly_flags(yearly).join(monthly_flags(monthly), "book", "full").join(have, "book", "left")
     rows = []
     for control, needs in CONTROLS.items():
-        missing = F.size(F.array_except(F.array(*map(F.lit, needs)), F.coalesce("have", F.array().cast("array<string>")))) > 0
+        known = F.coalesce("have", F.array().cast("array<string>"))
+        missing = F.size(F.array_except(F.array(*map(F.lit, needs)), known)) > 0
+        if control == "F05":
+            missing = missing | (F.size(F.array_intersect(F.array(*map(F.lit, WORKING_CAPITAL)), known)) < 2)
         flag = F.lit(None).cast("struct<period_key:string,metric:double>") if control == "F10" else F.col(control)
         lacks = {"F10": ~F.coalesce("has_fx", F.lit(False)), "F14": ~F.coalesce("has_headroom", F.lit(False))}.get(control, F.lit(False))
         status = F.when(missing, "not_applicable").when(lacks, "insufficient").when(flag.isNotNull(), "flagged").otherwise("clear")

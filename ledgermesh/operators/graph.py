@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +99,72 @@ def range_edges(edges: DataFrame) -> DataFrame:
     ranges = a1.explode_range(edges.where("kind = 'range'").select("src", "dst"), a1.body_of(F.col("dst")))
     cells = ranges.select("src", F.concat(a1.sheet_of(F.col("dst"), F.lit("")), F.lit("!"), "cell").alias("dst"), "truncated")
     return points.unionByName(cells).groupBy("src", "dst").agg(F.bool_or("truncated").alias("truncated"))
+
+
+def strong_components(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's strongly connected component, by one depth-first walk (nodes are 0 to n - 1)."""
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, low, out = [0] * n, [0] * n, np.full(n, -1, np.int64)
+    stack, count = [], 0
+    for root in range(n):
+        if at[root]:
+            continue
+        path = [(root, first[root])]
+        count += 1
+        at[root] = low[root] = count
+        stack.append(root)
+        while path:
+            node, edge = path[-1]
+            if edge < first[node + 1]:
+                path[-1] = (node, edge + 1)
+                other = to[edge]
+                if not at[other]:
+                    count += 1
+                    at[other] = low[other] = count
+                    stack.append(other)
+                    path.append((other, first[other]))
+                elif out[other] < 0:
+                    low[node] = min(low[node], at[other])
+                continue
+            path.pop()
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[node])
+            if low[node] == at[node]:
+                start = len(stack) - 1
+                while stack[start] != node:
+                    start -= 1
+                members = stack[start:]
+                del stack[start:]
+                out[members] = min(members)
+    return out
+
+
+def circular_in_books(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """(book, node, component) as circular_groups gives them, for edges (book, src, dst) that stay inside a book.
+
+    A book is one task, so a chain of formulas costs no rounds; books of more
+    than ``most_edges`` go through circular_groups together.
+    """
+    edges = stage(edges.select("book", "src", "dst").distinct())
+    kind = edges.schema["book"].dataType.simpleString()
+    large = stage(edges.groupBy("book").count().where(F.col("count") > most_edges).select("book"))
+
+    def groups(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(str), return_inverse=True)
+        src, dst = codes[: len(pdf)], codes[len(pdf) :]
+        part = strong_components(src, dst, len(names))
+        size = np.bincount(part, minlength=len(names))
+        looped = np.zeros(len(names), bool)
+        looped[src[src == dst]] = True
+        keep = (size[part] > 1) | looped
+        return pd.DataFrame({"book": key[0], "node": names[keep], "component": names[part[keep]]})
+
+    found = edges.join(F.broadcast(large), "book", "left_anti").groupBy("book").applyInPandas(groups, f"book {kind}, node string, component string")
+    if large.isEmpty():
+        return found
+    rest = edges.join(F.broadcast(large), "book", "left_semi")
+    tag = lambda c: F.concat(F.col("book").cast("string"), F.lit("\x00"), F.col(c))
+    far = circular_groups(rest.select(tag("src").alias("src"), tag("dst").alias("dst")))
+    part = lambda c, i: F.split_part(F.col(c), F.lit("\x00"), F.lit(i))
+    return found.unionByName(far.select(part("node", 1).cast(kind).alias("book"), part("node", 2).alias("node"), part("component", 2).alias("component")))

@@ -173,8 +173,9 @@ def detector_circular(spark, sf_dir):
     k, p = F.col("p_partkey"), table(spark, sf_dir, "part")
     cell = lambda c: F.concat(F.lit("S!A"), F.lpad(c.cast("string"), 9, "0"))
     to = F.when(k % 10 == 9, k - 3).otherwise(k + 1)
-    edges = p.select(cell(k).alias("src"), to.alias("n")).join(p.select(k.alias("n")), "n").select("src", cell(F.col("n")).alias("dst"))
-    groups = graph.circular_groups(edges).withColumn("workbook_id", F.lit("w"))
-    rows = p.select(F.lit("w").alias("workbook_id"), F.lit("S").alias("sheet"), k.cast("int").alias("row"), F.when(k % 100 == 7, "pnl.interest").alias("concept_id"), F.lit("line").alias("label"))
+    book = lambda c: (F.floor(c / 10) % 25).cast("string")
+    edges = p.select(book(k).alias("book"), cell(k).alias("src"), to.alias("n")).join(p.select(k.alias("n")), "n").select("book", "src", cell(F.col("n")).alias("dst"))
+    groups = graph.circular_in_books(edges).withColumnRenamed("book", "workbook_id")
+    rows = p.select(book(k).alias("workbook_id"), F.lit("S").alias("sheet"), k.cast("int").alias("row"), F.when(k % 100 == 7, "pnl.interest").alias("concept_id"), F.lit("line").alias("label"))
     out = detectors.circular(groups, rows)
     return out.select(F.col("size").cast("long").alias("size"), F.concat(F.lit("S!A"), F.regexp_extract(F.col("cell_refs")[0], r"A0*(\d+)$", 1)).alias("first_ref"), "severity")

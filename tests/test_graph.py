@@ -24,3 +24,17 @@ def test_reach_and_cycles_on_random_graphs(spark):
         loops = {a for a, b in edges if a == b}
         groups = {i: min(j for j in want[i] if i in want[j]) for i in range(n) if i in loops or any(i in want[j] for j in want[i] if j != i)}
         assert {r["node"]: r["component"] for r in graph.circular_groups(e).collect()} == groups
+
+
+def test_cycles_inside_books(spark):
+    rng, rows = random.Random(5), []
+    for book in range(6):
+        rows += [(book, f"n{rng.randrange(15):02d}", f"n{rng.randrange(15):02d}") for _ in range(20)]
+    # a chain of formulas that ends in a ring of three
+    rows += [(99, f"c{k:05d}", f"c{k + 1:05d}") for k in range(5000)] + [(99, "c05000", "c04998")]
+    edges = spark.createDataFrame(rows, "book int, src string, dst string")
+    got = {(r["book"], r["node"]): r["component"] for r in graph.circular_in_books(edges).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 99} == dict.fromkeys(["c04998", "c04999", "c05000"], "c04998")
+    small = edges.where("book < 99")
+    assert {k: v for k, v in got.items() if k[0] < 99} == {(r["book"], r["node"]): r["component"] for r in graph.circular_in_books(small, most_edges=1).collect()}
+    assert graph.circular_in_books(edges.limit(0)).count() == 0

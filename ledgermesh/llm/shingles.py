@@ -20,7 +20,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2 ** 64."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("back", _BACK)):
             p = np.full(n, base, np.uint64)
             p[0] = 1
@@ -62,7 +62,7 @@ def _some(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], chunk: int = 1 << 20):
+def shingle_sets(texts: list[str | None], chunk: int = 1 << 18):
     """Yields for each text its sorted distinct shingle hashes (uint64); the whole sequence is one where words are fewer."""
     held, size = [], 0
     for t in texts:

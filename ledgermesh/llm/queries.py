@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify, train
 from .mixing import mix
 from .packing import pack
+from .prefix_trie import joined_sha256, prefix_trie, shared_starts, turns_of
 from .quality import classify_quality
 from .secret_scan import scan_secrets
 from .shingle_join import near_duplicates
+from .spelling import group_variants, typos, vocabulary
 from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .vafile import exact_top_k
@@ -68,13 +71,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), end_id=1, window=2048)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    trie = prefix_trie(shared_starts(turns, every=20, heads=heads), turns)
+    out = trie.nodes.join(joined_sha256(trie.ends), ["conv_id", "depth"], "left")
+    return out.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(vocabulary(table(spark, sf_dir, "documents"), least=5, shortest=6, change=typos(199)), ratio=5)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_vector_topk, op4_mixing, op5_token_files, op6_secrets, op7_exact_dedup, op8_language, op9_shingle_join, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_vector_topk, op4_mixing, op5_token_files, op6_secrets, op7_exact_dedup, op8_language, op9_shingle_join, op10_packing, op11_prefix_trie, op12_spelling, op13_decontamination, pipeline)}
 
 ORACLE_SQL = {
     "op3_vector_topk": """

@@ -9,7 +9,7 @@ repeated rows and empty tables have the results that the operators define.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import WS, ids_only, table, written
@@ -24,20 +24,22 @@ from ledgermesh.llm.shingle_join import near_duplicates
 LEAST_SCORE = 0.25
 
 
-def row_key() -> Column:
-    """Names a row by its id, which may be null, and text: rows may share an id but not the text."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with _row, which names a row by its id and text: the id itself, or a hash of both where rows share the id or have none."""
+    again = written(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "stage-shared-ids")
+    marked = ids_only(docs, again.withColumn("_shared", F.lit(True)), "doc_id", "left")
+    return marked.withColumn("_row", F.when(F.col("doc_id").isNull() | F.col("_shared"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")).otherwise(F.col("doc_id"))).drop("_shared").select(*docs.columns, "_row")
 
 
 def once(keyed: DataFrame, names: list[str]) -> DataFrame:
-    """keyed with one of the rows that agree in names; only rows that repeat are shuffled."""
+    """keyed with one of the rows that agree in names and text; only rows that agree in names are shuffled."""
     again = written(keyed.groupBy(*names).count().where("count > 1").select(*names), "stage-again")
-    return ids_only(keyed, again, names, "left_anti").unionByName(ids_only(keyed, again, names).dropDuplicates(names))
+    return ids_only(keyed, again, names, "left_anti").unionByName(ids_only(keyed, again, names).dropDuplicates([*names, "text"]))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or without a language that has LEAST_SCORE of them, go."""
-    keyed = docs.withColumn("_row", row_key())
+    keyed = with_keys(docs)
     found = identify(keyed, train(docs), id_col="_row")
     gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_row")).distinct()
     return ids_only(keyed, written(gone, "stage-language"), "_row", "left_anti").drop("_row")
@@ -51,12 +53,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = written(verdict.where("not kept").select(*names), "stage-exact")
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), f"{WS}+", " "), 256)
     keyed = written(docs.select("*", *key, sha.alias("_sha")), "stage-keyed")
-    return once(ids_only(keyed, gone, names, "left_anti"), names).drop(*names)
+    kept = ids_only(keyed, gone, names, "left_anti")
+    again = written(kept.groupBy(*names).count().where("count > 1").select(*names), "stage-again")
+    return ids_only(kept, again, names, "left_anti").unionByName(ids_only(kept, again, names).dropDuplicates(names)).drop(*names)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, rows without one last; rows of one doc_id and several texts are documents each."""
-    keyed = docs.withColumn("_row", row_key())
+    keyed = with_keys(docs)
     near = written(near_duplicates(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct(), "stage-near-rows")
     both = near.join(keyed.select("_row", "doc_id"), "_row")
     first = both.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("first"))
@@ -69,7 +73,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows equal in id and text share what the mix takes of them evenly, rounded.
     """
-    keyed = docs.withColumn("_row", row_key())
+    keyed = with_keys(docs)
     taken = mix(keyed, id_col="_row").where("taken > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum(F.col("taken") / F.col("size")).alias("n"))
     rows = keyed.groupBy("_row").count()
     copies = written(taken.join(rows, "_row").select("_row", F.round(F.col("n") / F.col("count")).cast("int").alias("_copies")).where("_copies > 0"), "stage-mixing")

@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback["dir"]
 
 
-#: With it, the shuffle files of a query go as soon as the query is over.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written the shuffle files of its query go as soon as the query is over, and Python workers get whole texts in smaller batches.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,13 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
-        # a new plan under the setting; df itself may have been planned without it
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
+        # a new plan under the settings; df itself may have been planned without them
         df.select("*").write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -61,15 +61,17 @@ def infer(ids: np.ndarray, model: np.ndarray, penalty: float) -> tuple[list[int]
     """Languages of a text, strongest first, and their proportions."""
     ids, counts = np.unique(ids, return_counts=True)
     like, counts = model[ids], counts.astype(float)
-    share, _ = mixture(counts, like)
-    order = np.argsort(-share, kind="stable")[: int(max(1, (share > 0.05).sum()))]
+    share, most = mixture(counts, like)
+    order = np.argsort(-share, kind="stable")
+    fee = penalty * 0.5 * np.log(counts.sum())
     best, at = (order[:1], share[order[:1]]), -np.inf
-    if len(order) == 1:
-        return best[0].tolist(), best[1].tolist()
     for k in range(1, len(order) + 1):
-        some, ll = mixture(counts, like[:, order[:k]])
-        if ll - penalty * 0.5 * k * np.log(counts.sum()) > at:
-            at, best = ll - penalty * 0.5 * k * np.log(counts.sum()), (order[:k], share[order[:k]] if k == 1 else some)
+        # no set is likelier than all languages together, so none of k or more can do better
+        if most - k * fee < at:
+            break
+        some, ll = mixture(counts, like[:, order[:k]]) if k < len(order) else (share[order], most)
+        if ll - k * fee > at:
+            at, best = ll - k * fee, (order[:k], some)
     by = np.argsort(-best[1], kind="stable")
     return best[0][by].tolist(), best[1][by].tolist()
 

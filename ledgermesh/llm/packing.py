@@ -40,28 +40,36 @@ def takes(have: np.ndarray, due: np.ndarray, share: np.ndarray, window: int) ->
     have: ids of each queue; due: ids owed to each before the first window, paid
     off evenly over all windows; share: target proportions.
     """
-    left, deficit, out = have.astype(np.int64), np.zeros(len(have)), []
-    total = int(have.sum())
-    quantum = share * window + due / max(1, -(-total // window))
-    while total:
-        room = min(window, total)
-        deficit = deficit + quantum
-        take = np.zeros(len(left), np.int64)
-        while (rest := room - int(take.sum())) > 0:
-            open_ = left > take
-            # what the deficits leave of the room, or lack of it, is shared in the target proportions of the queues that have ids
-            weight = np.where(open_, share, 0.0) if share[open_].sum() > 0 else open_.astype(float)
-            deficit += (room - take[~open_].sum() - deficit[open_].sum()) * weight / weight.sum()
-            more = np.clip(np.floor(deficit), take, left).astype(np.int64)
-            order = np.argsort(-deficit, kind="stable")
-            if more.sum() <= take.sum():
-                # less than an id for each
-                more[order[open_[order]][:rest]] += 1
-            # the largest deficits go first where all together are more than the room
-            grown = (more - take)[order]
-            take[order] += np.diff(np.minimum(np.cumsum(grown), rest), prepend=0)
-        left -= take
-        deficit = deficit - take
+    left, share, total = have.astype(np.int64).tolist(), [float(x) for x in share], int(have.sum())
+    windows = -(-total // window)
+    pay = [float(d) / max(1, windows) for d in due]
+    deficit, out, open_, rate = [0.0] * len(left), [], [], []
+    for _ in range(windows):
+        if any(not left[i] for i in open_) or not open_:
+            # the quanta of the queues that have ids, brought to a window in the target proportions
+            open_ = [i for i, n in enumerate(left) if n]
+            weight = [share[i] for i in open_] if any(share[i] > 0 for i in open_) else [1.0] * len(open_)
+            quantum = [share[i] * window + pay[i] for i in open_]
+            lack = (window - sum(quantum) - sum(deficit[i] for i in open_) / max(1, windows - len(out))) / sum(weight)
+            quantum = [max(0.0, q + lack * w) for q, w in zip(quantum, weight)]
+            whole = sum(quantum)
+            rate = [q * window / whole for q in quantum] if whole > 0 else [window / len(open_)] * len(open_)
+        room, take = min(window, total), [0] * len(left)
+        for i, r in zip(open_, rate):
+            deficit[i] += r
+            take[i] = min(left[i], max(0, int(deficit[i])))
+        rest = room - sum(take)
+        while rest:
+            # ids that rounding leaves, that a queue lacks, or that the last window has no room for: by deficit, one each or evenly
+            able = sorted((i for i in open_ if (take[i] < left[i] if rest > 0 else take[i])), key=lambda i: (take[i] - deficit[i]) * (1 if rest > 0 else -1))
+            each, step = max(1, abs(rest) // len(able)), 1 if rest > 0 else -1
+            for i in able:
+                n = min(each, abs(rest), left[i] - take[i] if step > 0 else take[i])
+                take[i] += step * n
+                rest -= step * n
+        for i in open_:
+            left[i] -= take[i]
+            deficit[i] -= take[i]
         total -= room
         out.append(take)
     return np.array(out, np.int64).reshape(-1, len(have))

@@ -1,10 +1,18 @@
-"""Sets of 5-word shingles as 64-bit hashes, many texts at a time."""
+"""Sets of 5-word shingles as 64-bit hashes, many texts at a time.
+
+A word's hash is a polynomial modulo 2 ** 64, for all words of a piece of text at
+once.  Long words that differ can have the same polynomial whatever the base, so
+words beyond LONG bytes are hashed one by one by a hash of another kind.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WORDS = 5
+#: Bytes up to which a word's polynomial is its hash.
+LONG = 32
 _SEED = np.random.default_rng(20240501)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -44,6 +52,10 @@ def _some(texts: list[bytes]) -> list[np.ndarray]:
     edge = np.flatnonzero(np.diff(word, prepend=False))
     starts, ends = edge[::2], edge[1::2]
     words = mixed((total[ends] - total[starts]) * back[starts])
+    long_ones = np.flatnonzero(ends - starts > LONG)
+    if len(long_ones):
+        folded = memoryview(_FOLD[a].astype(np.uint8))
+        words[long_ones] = [xxhash.xxh3_64_intdigest(folded[s:e]) for s, e in zip(starts[long_ones].tolist(), ends[long_ones].tolist())]
     n = len(words)
     grams = np.zeros(max(0, n - WORDS + 1), np.uint64)
     for i, weight in enumerate(_WEIGHTS):

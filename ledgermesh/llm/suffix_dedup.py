@@ -27,9 +27,10 @@ first by content, and the rest is doubled:
    occur more than once in their order, and leaves out windows whose pair is
    unique.  Windows left after the last round repeat.
 
-Names are hashes of contents: 64 bits where they only leave things out, and 64
-further, independent ones where equal names settle that bytes go, so that no
-two contents that a corpus can hold are mistaken for each other.  Equal contents
+Names are polynomials of contents modulo 2 ** 64, which slide fast but give some
+pairs of contents the same value whatever the base: they only leave things out.
+Where equal names settle that bytes go, the proof must be equal too, 64 bits of a
+hash of another kind over the same bytes.  Equal contents
 meet by a shuffle in which partial counts are merged first; tables of names that
 repeat are written before rows are joined to them, so that Spark can split a
 name that very many rows have.
@@ -45,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,15 +62,19 @@ RUNS = "core long, name long, proof long, k1 long, k2 long, first int, last int,
 PARTS = (0, 64, 128, 256)
 WINDOWS = "k1 long, k2 long, pos int, open boolean, proof long, " + ", ".join(f"h{k} long" for k in PARTS)
 _VALUE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
-_PROOF = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def _sums(a: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
+def _sums(a: np.ndarray) -> np.ndarray:
     total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(value[a] * powers(len(a) + 1)[0][: len(a)], out=total[1:])
+    np.cumsum(_VALUE[a] * powers(len(a) + 1)[0][: len(a)], out=total[1:])
     return total
 
 
+def _proofs(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    raw, digest = memoryview(a), xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist())], np.uint64)
+
+
 def _hashes(total: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
     """Hashes of the strings between prefix sums."""
     back = powers(len(total))[1]
@@ -96,7 +102,7 @@ def segments_of(a: np.ndarray, length: int, seen: np.ndarray):
     last = np.concatenate([first[1:] - 1, [len(rank) - 1]])
     gram = rank[first]
     name = mixed(_hashes(total, first, last + length) + (last - first).astype(np.uint64))
-    proof = mixed(_hashes(_sums(a, _PROOF), first, last + length))
+    proof = _proofs(a, first, last + length)
     low = np.uint64(0xFFFF)
     seen[gram & low] = True
     at = grams[seen[grams & low]]
@@ -127,7 +133,7 @@ def runs_of(a: np.ndarray, parts: list[tuple[int, int, bool]], length: int):
     core = mixed(_hashes(total, place - far, place - far - STEP + 1 + length)) + far.astype(np.uint64)
     shape = ((place - first) * 1024 + (place - last)).astype(np.uint64)
     name = mixed(_hashes(total, first, last + length)) + mixed(shape)
-    proof = mixed(_hashes(_sums(a, _PROOF), first, last + length))
+    proof = _proofs(a, first, last + length)
     return mixed(core), mixed(name), proof, first.astype(np.int32), last.astype(np.int32), np.array(flag)
 
 
@@ -137,7 +143,7 @@ def window_parts(a: np.ndarray, first: list[int], last: list[int], length: int)
     pos = np.concatenate([np.arange(f, e + 1) for f, e in zip(first, last)])
     ends = [min(k, length) for k in (*PARTS[1:], length)]
     parts = [mixed(_hashes(total, pos + min(k, length), pos + end)) for k, end in zip(PARTS, ends)]
-    return pos, mixed(_hashes(_sums(a, _PROOF), pos, pos + length)), parts
+    return pos, _proofs(a, pos, pos + length), parts
 
 
 def doubled(windows: DataFrame) -> DataFrame:

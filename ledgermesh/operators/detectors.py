@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import a1
 from ..functions.numeric import ERRORS, as_rate, tolerance
-from ..functions.periods import classify_header
+from ..functions.periods import scenario_of
 from .axis import aligned, previous
 
 EPS = 1e-9
@@ -85,7 +85,7 @@ def scenario_switch(rows: DataFrame, edges: DataFrame) -> DataFrame:
     line counts if its cells read from one scenario sheet only, and if it isn't on
     one itself.
     """
-    scenario = lambda s: F.when(classify_header(s)["role"] == "scenario", classify_header(s)["period_key"])
+    scenario = scenario_of
     e = edges.where("dst is not null").select("workbook_id", F.regexp_extract("src", "^(.*)!", 1).alias("sheet"), F.regexp_extract("src", r"(\d+)$", 1).cast("int").alias("row"), "src", scenario(F.regexp_extract("dst", "^(.*)!", 1)).alias("key"))
     mapped = rows.where("concept_id is not null").where(scenario(F.col("sheet")).isNull()).select("workbook_id", "sheet", "row").distinct()
     lines = mapped.join(e, ["workbook_id", "sheet", "row"]).groupBy("workbook_id", "sheet", "row").agg(F.collect_set("key").alias("keys"), F.collect_set("src").alias("refs")).where("size(keys) = 1")

@@ -89,7 +89,8 @@ def uses_semicolon(formula: Column) -> Column:
     return F.coalesce(F.regexp_replace(formula, '"[^"]*"', "").contains(";"), F.lit(False))
 
 
-_TOKEN = re.compile(r"\"(?:[^\"]|\"\")*\"|(?<![A-Za-z0-9_.])(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(])")
+#: A quoted text or sheet name, or a cell reference that no name or call continues.
+_TOKEN = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*')|(?<![\w.$])(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![\w(.])""")
 
 
 def _letters(n: int) -> str:
@@ -109,14 +110,14 @@ def _number(letters: str) -> int:
 
 
 def shifted(formula: str, columns: int, rows: int) -> str:
-    """Move the relative references of a formula; quoted text and absolute parts stay."""
+    """Move the relative references of a formula, at the edge to the first row or column; quoted text, sheet names and absolute parts stay."""
 
     def move(m: re.Match) -> str:
-        if m[2] is None:
-            return m[0]
-        col = m[2] if m[1] else _letters(_number(m[2]) + columns)
-        row = m[4] if m[3] else str(max(1, int(m[4]) + rows))
-        return f"{m[1]}{col}{m[3]}{row}"
+        if m[1]:
+            return m[1]
+        col = m[3] if m[2] else _letters(_number(m[3]) + columns)
+        row = m[5] if m[4] else str(max(1, int(m[5]) + rows))
+        return f"{m[2]}{col}{m[4]}{row}"
 
     return _TOKEN.sub(move, formula)
 

@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage: a table in the folder of spark.checkpoint.dir; where that is unset, a local master gets a temporary one."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not df.sparkSession.sparkContext.master.startswith("local[") and df.sparkSession.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .staging import discard, stage
 
 
 def reach(edges: DataFrame, starts: DataFrame, strangers: bool = False) -> DataFrame:
@@ -36,13 +21,15 @@ def reach(edges: DataFrame, starts: DataFrame, strangers: bool = False) -> DataF
     starts = starts.select("source", "node").distinct()
     if not strangers:
         starts = starts.join(given.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi").select("source", "node")
+    # what is seen is the union of the fronts: each node is written once
     seen = front = stage(starts)
     while True:
         step = front.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         front = stage(step.join(seen, ["source", "node"], "left_anti"))
         if front.isEmpty():
+            discard(front, edges)
             return seen
-        seen = stage(seen.unionByName(front))
+        seen = seen.unionByName(front)
 
 
 def reverse_reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -65,6 +52,7 @@ def circular_groups(edges: DataFrame) -> DataFrame:
         while True:
             trimmed = stage(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             before, now = left.count(), trimmed.count()
+            discard(left)
             left = trimmed
             if now == before:
                 break
@@ -75,15 +63,18 @@ def circular_groups(edges: DataFrame) -> DataFrame:
             pushed = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("m"))
             new = stage(colour.join(pushed, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("m", "colour")).alias("colour"), (F.col("m") < F.col("colour")).alias("changed")))
             moved = not new.where("changed").isEmpty()
+            discard(colour)
             colour = new.select("node", "colour")
+            colour._staged_at = new._staged_at
             if not moved:
                 break
         inside = left.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2").select("src", "dst", "colour")
         back = reverse_reach(inside, colour.where("node = colour").select(F.col("node").alias("source"), "node"))
         part = stage(back.select("node", F.col("source").alias("component")))
         found = part if found is None else found.unionByName(part)
-        gone = part.select("node")
+        gone, last = part.select("node"), left
         left = stage(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+        discard(last, colour)
     if found is None:
         return loops
     sizes = found.groupBy("component").count().where("count > 1").select("component")

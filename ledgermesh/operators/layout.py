@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import display_text
 from ..functions.numeric import as_number
 from ..functions.periods import CALENDAR_KEY, apply_grain, header_atom, infer_grain, normalize_header
+from .staging import discard, stage
 
 #: The words of lines that number columns, check sums, or tell what a header line holds.
 INDEX_LABEL = r"(?iu)^(№|n|no|#)$"
@@ -204,7 +205,8 @@ def composed(cells: DataFrame, lines: DataFrame, scanned: DataFrame) -> DataFram
         # marks count on every line of the band
         F.collect_list(F.when((F.col("kind") == "role_marker") & F.col("role").isin("historical", "forecast"), F.struct("row", "role"))).alias("marks"),
     )
-    cols = _with_marks(cols)
+    staged = stage(cols)
+    cols = _with_marks(staged)
     alone = (F.size("years") == 1) & F.col("structural").isNull() & F.col("temporal")
     carried = F.last(F.when(alone, F.col("years")[0]), True).over(Window.partitionBy(*BLOCK).orderBy("col").rowsBetween(Window.unboundedPreceding, -1))
     cols = cols.withColumn("year", F.coalesce(F.try_element_at("years", F.lit(1)), carried))
@@ -214,7 +216,9 @@ def composed(cells: DataFrame, lines: DataFrame, scanned: DataFrame) -> DataFram
         .when(F.col("year").isNotNull() & F.col("quarter").isNotNull(), F.concat("year", F.lit("Q"), F.col("quarter").cast("string"))).when(F.col("year").isNotNull() & F.col("month").isNotNull(), dated).otherwise(F.coalesce("full", "year"))
     )
     role = F.coalesce("said", "marked", "structural.role", F.lit("historical"))
-    return cols.select(*BLOCK, "col", "header_text", key.alias("period_key"), role.alias("role")).where("period_key is not null")
+    out = stage(cols.select(*BLOCK, "col", "header_text", key.alias("period_key"), role.alias("role")).where("period_key is not null"))
+    discard(staged)
+    return out
 
 
 def _with_marks(cols: DataFrame) -> DataFrame:
@@ -248,8 +252,7 @@ def parents(rows: DataFrame, keys: list[str]) -> DataFrame:
                 open_.pop()
             found.append(open_[-1][0] if open_ else None)
             open_.append((row, indent))
-        names = [pa.array([k.as_py()] * len(found)) for k in key]
-        return pa.table([*names, table.column("row"), pa.array(found, pa.int32())], [*keys, "row", "parent_row"])
+        return table.drop_columns(["indent"]).append_column("parent_row", pa.array(found, pa.int32()))
 
     some = rows.select(*keys, F.col("row").cast("int").alias("row"), "indent")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.select(*keys, "row").schema)
@@ -258,9 +261,9 @@ def parents(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def detect_layout(cells: DataFrame) -> Layout:
     """Axes and lines of all blocks of all sheets."""
-    c = shown(cells.withColumn("book", F.col("book").cast("string")))
-    lines = line_classes(c)
-    scanned = bands(lines)
+    c = stage(shown(cells.withColumn("book", F.col("book").cast("string"))))
+    lines = stage(line_classes(c))
+    scanned = stage(bands(lines))
     axis = composed(c, lines, scanned)
     grain = axis.groupBy(*BLOCK).agg(infer_grain(F.collect_list("period_key")).alias("grain"))
     axis = axis.join(grain, BLOCK).withColumn("period_key", apply_grain(F.col("period_key"), F.col("grain")))

@@ -3,7 +3,9 @@ import zipfile
 import pytest
 
 from ledgermesh.sources.workbook import book_flags, read_parts, whole_books
-from ledgermesh.sources.workbook import Unreadable, cells_of, moved, read_cells
+from ledgermesh.functions.a1 import shifted
+from ledgermesh.operators import names
+from ledgermesh.sources.workbook import Unreadable, facts_of, read_books, read_cells
 
 REL = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
 KIND = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
@@ -51,9 +53,33 @@ def test_cells_and_errors(spark, tmp_path):
 
 def test_no_bytes():
     with pytest.raises(Unreadable, match="empty_file"):
-        list(cells_of(b""))
+        list(facts_of(b""))
 
 
 def test_moved():
-    assert moved("A1&\"B2\"+'C3 x'!D4+LOG10(E$5)+$F6", 1, 2) == "C2&\"B2\"+'C3 x'!F5+LOG10(G$5)+$F7"
-    assert moved("A1", -1, 0) == "#REF!"
+    # one rule everywhere: what would leave the sheet stays at its first row or column
+    assert shifted("A1&\"B2\"+'C3 x'!D4+LOG10(E$5)+$F6", 2, 1) == "C2&\"B2\"+'C3 x'!F5+LOG10(G$5)+$F7"
+    assert shifted("A1", 0, -1) == "A1" and shifted("B3", -5, -1) == "A2"
+
+
+def test_what_a_book_says_of_itself(spark, tmp_path):
+    sheet = '<sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><f>Rate*2+Unknown</f><v>2</v></c><c r="C1"><f>SUM(Costs)+"Rate"</f><v>3</v></c><c r="D1"><f t="shared" si="0">A1+1</f><v>1</v></c><c r="E1"><f t="shared" si="0"/><v>1</v></c></row>' \
+            '<row r="2"><c r="D2"><f t="shared" si="0">A2*9</f><v>1</v></c><c r="E2"><f t="shared" si="0"/><v>1</v></c></row></sheetData>'
+    with zipfile.ZipFile(tmp_path / "n.xlsx", "w") as z:
+        z.writestr("_rels/.rels", REL.format(rel("a", "officeDocument", "xl/workbook.xml")))
+        z.writestr("xl/workbook.xml", f'<workbook {MAIN}><workbookPr date1904="1"/><sheets><sheet name="S" sheetId="1" r:id="s"/></sheets><definedNames><definedName name="Rate">Inputs!$B$3</definedName><definedName name="costs" hidden="1">Base+S!$A$1:$A$2</definedName>'
+                   '<definedName name="Base">Inputs!$C$1</definedName><definedName name="Ring">Ring2</definedName><definedName name="Ring2">Ring+1</definedName></definedNames><calcPr iterate="1"/></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", REL.format(rel("s", "worksheet", "worksheets/sheet1.xml") + rel("x", "externalLink", "externalLinks/externalLink1.xml")))
+        z.writestr("xl/externalLinks/externalLink1.xml", "<externalLink/>")
+        z.writestr("xl/externalLinks/_rels/externalLink1.xml.rels", REL.format(f'<Relationship Id="e" Type="{KIND}externalLinkPath" Target="file:///other.xlsx" TargetMode="External"/>'))
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {MAIN}>{sheet}</worksheet>")
+    (tmp_path / "empty.xlsx").write_bytes(b"")
+    b = read_books(spark, f"file://{tmp_path}")
+    said = b.books.first()
+    assert (said["externals"], said["date1904"], said["iterates"]) == (["file:///other.xlsx"], True, True)
+    assert [(r["book"][-10:], r["error"]) for r in b.errors.collect()] == [("empty.xlsx", "empty_file")]
+    formulas = {r["addr"]: r["formula_raw"] for r in b.cells.collect()}
+    assert [formulas[a] for a in ("D1", "E1", "D2", "E2")] == ["A1+1", "B1+1", "A2*9", "B2*9"]
+    got = names.name_edges(b.cells, b.names)
+    assert sorted((r["src"], r["kind"], r["dst"]) for r in got.collect()) == [("S!B1", "cross_sheet", "Inputs!B3"), ("S!C1", "cross_sheet", "Inputs!C1"), ("S!C1", "range", "S!A1:A2")]
+    assert sorted(r["name"] for r in names.circular_names(b.names).collect()) == ["ring", "ring2"]

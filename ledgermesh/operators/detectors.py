@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import a1
-from ..functions.numeric import ERRORS, as_rate, tolerance
+from ..functions.numeric import ERRORS, as_number, as_rate, tolerance
 from ..functions.periods import scenario_of
 from .axis import aligned, previous
+from .graph import reach
 
 EPS = 1e-9
 GROWTH = 0.10
@@ -28,7 +29,7 @@ def error_masking(compiled: DataFrame) -> DataFrame:
 
 
 #: Concepts and words that make a circular reference likely to be meant.
-MEANT_CONCEPTS = ("interest", "tax", "debt")
+MEANT_CONCEPTS = ("pnl.interest", "pnl.tax", "bs.debt")
 MEANT_LABELS = ("interest", "tax", "sweep", "процент", "налог")
 
 
@@ -39,8 +40,7 @@ def circular(groups: DataFrame, rows: DataFrame) -> DataFrame:
     sheet, row, concept_id, label.
     """
     sheet, row = F.regexp_extract("node", "^(.*)!", 1), F.regexp_extract("node", r"(\d+)$", 1).cast("int")
-    words = lambda c, some: F.coalesce(F.lower(c).rlike("|".join(some)), F.lit(False))
-    meant = words(F.col("concept_id"), MEANT_CONCEPTS) | words(F.col("label"), MEANT_LABELS)
+    meant = F.coalesce(F.col("concept_id").isin(*MEANT_CONCEPTS), F.lit(False)) | F.coalesce(F.lower("label").rlike("|".join(MEANT_LABELS)), F.lit(False))
     known = groups.withColumn("sheet", sheet).withColumn("row", row).join(rows.select("workbook_id", "sheet", "row", meant.alias("meant")), ["workbook_id", "sheet", "row"], "left")
     out = known.groupBy("workbook_id", "component").agg(F.array_sort(F.collect_set("node")).alias("cell_refs"), F.coalesce(F.bool_or("meant"), F.lit(False)).alias("meant"))
     tags = F.when(F.col("meant"), F.array(F.lit("likely_intentional"))).otherwise(F.array().cast("array<string>"))
@@ -202,6 +202,50 @@ def hidden_inputs(cells: DataFrame, reached: DataFrame) -> DataFrame:
     return cells.where("hidden").join(reached, ["workbook_id", "ref"], "left_semi")
 
 
+#: Concepts whose lines are outputs whatever their role, and the ending of others.
+OUTPUT_CONCEPTS, OUTPUT_ENDING = ("pnl.ebitda", "pnl.net_income", "pnl.ebit"), "_total"
+
+
+def _has_value(cells: DataFrame) -> Column:
+    return F.col("formula_raw").isNotNull() | as_number(F.col("cached_value")).isNotNull()
+
+
+def output_cells(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """workbook_id, ref, hidden of the output cells of a book: on each output line its formulas, or its values where it has none.
+
+    cells: workbook_id, sheet, row, ref, formula_raw, cached_value, hidden; lines:
+    workbook_id, sheet, row, article_role, concept_id.
+    """
+    concept = F.coalesce("concept_id", F.lit(""))
+    some = lines.where((F.coalesce("article_role", F.lit("")) == "output") | concept.endswith(OUTPUT_ENDING) | concept.isin(*OUTPUT_CONCEPTS)).select("workbook_id", "sheet", "row").distinct()
+    on = cells.join(some, ["workbook_id", "sheet", "row"]).where(_has_value(cells))
+    has_formula = F.max(F.col("formula_raw").isNotNull()).over(Window.partitionBy("workbook_id", "sheet", "row"))
+    return on.withColumn("_some", has_formula).where("not _some or formula_raw is not null").select("workbook_id", "ref", F.coalesce("hidden", F.lit(False)).alias("hidden"))
+
+
+def _in_books(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(workbook_id, ref) of all that the starts (workbook_id, ref) of a book read, by its own edges (workbook_id, src, dst); starts included."""
+    node = lambda c: F.to_json(F.struct(F.col("workbook_id").cast("string").alias("w"), F.col(c).alias("r")))
+    kind = starts.schema["workbook_id"].dataType
+    seen = reach(edges.where("dst is not null").select(node("src").alias("src"), node("dst").alias("dst")), starts.select(F.lit(0).alias("source"), node("ref").alias("node")), True)
+    at = F.from_json("node", "w string, r string")
+    return seen.select(at["w"].cast(kind).alias("workbook_id"), at["r"].alias("ref")).distinct()
+
+
+def unused_in_books(cells: DataFrame, edges: DataFrame, lines: DataFrame, cap: int = 50) -> DataFrame:
+    """workbook_id, ref of the first ``cap`` cells with a value or formula, in scan order (ord), that no output of their book reads; books without outputs have none."""
+    outputs = output_cells(cells, lines).select("workbook_id", "ref")
+    rest = cells.where(_has_value(cells)).join(outputs.select("workbook_id").distinct(), "workbook_id", "left_semi").join(_in_books(edges, outputs), ["workbook_id", "ref"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("workbook_id").orderBy("ord"))
+    return rest.withColumn("nth", nth).where(F.col("nth") <= cap).select("workbook_id", "ref")
+
+
+def hidden_in_books(cells: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """workbook_id, ref of hidden cells that an output which isn't hidden reads."""
+    outputs = output_cells(cells, lines).where("not hidden").select("workbook_id", "ref")
+    return cells.where("hidden").select("workbook_id", "ref").join(_in_books(edges, outputs), ["workbook_id", "ref"], "left_semi")
+
+
 def dedup_candidates(candidates: DataFrame) -> DataFrame:
     """First candidate (by ord) of each detector and set of references."""
     key = F.array_sort(F.array_distinct("cell_refs"))

@@ -148,6 +148,34 @@ def detector_hidden_input(spark, sf_dir):
     return detectors.hidden_inputs(*_reading(spark, sf_dir)).select("workbook_id", "ref")
 
 
+def _order_books(spark, sf_dir):
+    """A book for each order: its items are rows of values, their totals formulas, the last line an output."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    n = l.groupBy("l_orderkey").agg(F.max("l_linenumber").cast("int").alias("n"))
+    at = lambda row, col: [F.col("l_orderkey").alias("workbook_id"), F.lit("S").alias("sheet"), row.cast("int").alias("row"), F.concat(F.lit("S!"), F.lit(col), row.cast("string")).alias("ref")]
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    hidden = (k + line) % 3 == 0
+    values = l.select(*at(line, "A"), F.lit(None).cast("string").alias("formula_raw"), F.col("l_quantity").cast("string").alias("cached_value"), hidden.alias("hidden"), line.cast("int").alias("ord"))
+    # column B doubles A; the line of totals adds up the odd lines of B, and is hidden in each fifth book
+    doubled = l.select(*at(line, "B"), F.concat(F.lit("=A"), line.cast("string"), F.lit("*2")).alias("formula_raw"), F.lit("1").alias("cached_value"), F.lit(False).alias("hidden"), (line + 10).cast("int").alias("ord"))
+    total = n.select(*at(F.lit(9), "B"), F.lit("=odd").alias("formula_raw"), F.lit("1").alias("cached_value"), (k % 5 == 0).alias("hidden"), F.lit(99).alias("ord"))
+    note = n.select(*at(F.lit(9), "A"), F.lit(None).cast("string").alias("formula_raw"), F.lit("Итого").alias("cached_value"), F.lit(False).alias("hidden"), F.lit(98).alias("ord"))
+    ref = lambda col: F.concat(F.lit(f"S!{col}"), line.cast("string"))
+    edges = l.select(k.alias("workbook_id"), ref("B").alias("src"), ref("A").alias("dst")).unionByName(l.where("l_linenumber % 2 = 1").select(k.alias("workbook_id"), F.lit("S!B9").alias("src"), ref("B").alias("dst")))
+    lines = n.where("l_orderkey % 7 <> 0").select(k.alias("workbook_id"), F.lit("S").alias("sheet"), F.lit(9).alias("row"), F.when(k % 2 == 0, "output").otherwise("calculation").alias("article_role"), F.when(k % 2 == 1, "pnl.ebitda").alias("concept_id"))
+    return values.unionByName(doubled).unionByName(total).unionByName(note), edges, lines
+
+
+@query("SELECT l_orderkey AS workbook_id, unnest(['S!A' || l_linenumber, 'S!B' || l_linenumber]) AS ref FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_linenumber % 2 = 0")
+def detector_unused_in_books(spark, sf_dir):
+    return detectors.unused_in_books(*_order_books(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS workbook_id, 'S!A' || l_linenumber AS ref FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_orderkey % 5 <> 0 AND l_linenumber % 2 = 1 AND (l_orderkey + l_linenumber) % 3 = 0")
+def detector_hidden_in_books(spark, sf_dir):
+    return detectors.hidden_in_books(*_order_books(spark, sf_dir))
+
+
 @query("SELECT 'c' || c_custkey AS ref FROM customer WHERE c_custkey % 8 = 3")
 def detector_excel_error(spark, sf_dir):
     k = F.col("c_custkey")

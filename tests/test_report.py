@@ -1,6 +1,7 @@
+import os
 import time
 
-from ledgermesh.operators import mapping, report
+from ledgermesh.operators import detectors, mapping, report
 from ledgermesh.sources import store
 from ledgermesh.streaming import intake
 
@@ -71,3 +72,27 @@ def test_intake_takes_each_content_once(spark, tmp_path):
     (inbox / "e.xlsx").write_bytes(b"one")
     run()
     assert spark.read.parquet(str(tmp_path / "out")).select("audit_id").distinct().count() == spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_intake_takes_old_files_and_none_twice(spark, tmp_path):
+    inbox = tmp_path / "old"
+    inbox.mkdir()
+    put = lambda name, content, days: ((inbox / name).write_bytes(content), os.utime(inbox / name, (2_000_000_000 - 86_400 * days,) * 2))
+    run = lambda: intake.audit_stream(intake.arrivals(spark, str(inbox)), lambda df: df.select("audit_id", "path"), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    put("new.xlsx", b"new", 0)
+    run()
+    put("five.xlsx", b"five", 5)
+    put("nine.xlsx", b"nine", 9)
+    put("again.xlsx", b"new", -40)
+    run()
+    put("year.xlsx", b"year", 400)
+    put("five-again.xlsx", b"five", -80)
+    run()
+    got = sorted(r["path"].rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert got == ["five.xlsx", "new.xlsx", "nine.xlsx", "year.xlsx"]
+
+
+def test_circles_are_meant_by_concept_not_by_part_of_its_name(spark):
+    groups = spark.createDataFrame([("w", "S!A1", "S!A1"), ("v", "S!A1", "S!A1"), ("u", "S!A1", "S!A1")], "workbook_id string, node string, component string")
+    rows = spark.createDataFrame([("w", "S", 1, "pnl.interest_rate", "Rate"), ("v", "S", 1, "pnl.interest", "x"), ("u", "S", 1, None, "Cash sweep")], "workbook_id string, sheet string, row int, concept_id string, label string")
+    assert {r["workbook_id"]: r["severity"] for r in detectors.circular(groups, rows).collect()} == {"w": "error", "v": "warning", "u": "warning"}

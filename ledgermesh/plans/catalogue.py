@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import a1, dates, labels, numeric, periods
-from ..operators import detectors, frs, graph, identities, lineage, mapping, report, rollup, series
+from ..operators import credit, detectors, frs, graph, identities, lineage, mapping, report, rollup, series
 from . import formula_queries, layout_queries  # noqa: F401  they register their queries
 from . import statements as st
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -165,6 +165,47 @@ def _matrix_sql() -> str:
     SELECT ids.book, ids.c AS control_id, CASE WHEN ids.c = 'F10' THEN 'insufficient' WHEN flags.c IS NOT NULL THEN 'flagged' ELSE 'clear' END AS status, k AS period_key, round(m, 6) AS metric FROM ids LEFT JOIN flags ON ids.book = flags.book AND ids.c = flags.c"""
 
 
+_FULL = ("pnl.ebitda", "pnl.net_income", "pnl.interest", "cf.fcf", "cf.cfo", "cf.capex", "cf.dividends", "cf.repayment", "cf.drawdown", "bs.ar", "bs.ap", "bs.debt", "bs.cash", "covenant.headroom")
+
+
+def _full_sql() -> str:
+    month = st.wide_sql(["bs.cash", "cf.drawdown"], True)
+    for old, new in (("base0", "mbase0"), ("base AS", "mbase AS"), ("FROM base)", "FROM mbase)"), ("wide AS", "mwide AS")):
+        month = month.replace(old, new)
+    month = month.replace("FROM mmbase0", "FROM mbase0").replace("mmbase0", "mbase0")
+    return f"""WITH {st.wide_sql(list(_FULL))}, {month},
+    y AS (SELECT *, role = 'forecast' AND pnl_net_income >= 0 AND cf_fcf < 0 AS red, cf_cfo > lag(cf_cfo) OVER w AND cf_fcf < lag(cf_fcf) OVER w AS apart, role = 'forecast' AND pnl_ebitda < 0 AND lag(role) OVER w = 'forecast' AND lag(pnl_ebitda) OVER w < 0 AS loss,
+        lag(period_key) OVER w AS k0, greatest(0, bs_ar - lag(bs_ar) OVER w) AS ar_up, greatest(0, bs_ap - lag(bs_ap) OVER w) AS ap_up FROM wide WINDOW w AS (PARTITION BY book ORDER BY period_key)),
+    f03 AS (SELECT book, 'F03' AS c, count(*) FILTER (loss) > 0 AS flag, 'medium' AS priority, 'high' AS confidence, '' AS cause, coalesce(arg_min(k0, period_key) FILTER (loss), '') AS k, NULL::DOUBLE AS metric, 2 AS n FROM y GROUP BY book),
+    r AS (SELECT *, count(*) FILTER (red) OVER (PARTITION BY book) AS reds, min(period_key) FILTER (apart) OVER (PARTITION BY book) AS ak FROM y),
+    sc AS (SELECT book, any_value(reds) AS reds, any_value(ak) AS ak, coalesce(min(period_key) FILTER (red), '') AS k, coalesce(arg_min(cf_fcf, period_key) FILTER (red), arg_max(cf_fcf, period_key)) AS metric,
+        sum(greatest(0, pnl_net_income - cf_cfo)) FILTER (red OR reds = 0) AS ops, coalesce(sum(ar_up) FILTER (red OR reds = 0), 0) AS wc_ar, coalesce(sum(ap_up) FILTER (red OR reds = 0), 0) AS wc_ap, sum(greatest(0, -cf_capex)) FILTER (red OR reds = 0) AS capex, sum(greatest(0, cf_dividends)) FILTER (red OR reds = 0) AS dividends,
+        count(*) FILTER (red OR period_key = ak) AS cells FROM r GROUP BY book),
+    f04 AS (SELECT book, 'F04' AS c, reds >= 2 OR ak IS NOT NULL AS flag, 'medium' AS priority, 'high' AS confidence, CASE greatest(ops, wc_ar, wc_ap, capex, dividends) WHEN ops THEN 'ops' WHEN wc_ar THEN 'wc_ar' WHEN wc_ap THEN 'wc_ap' WHEN capex THEN 'capex' ELSE 'dividends' END AS cause, k, metric, 3 * cells AS n FROM sc),
+    m AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY period_key) - 1 AS nth FROM mwide),
+    f08 AS (SELECT book, 'F08' AS c, min(bs_cash) < 0 OR (max(bs_cash) - min(bs_cash) <= greatest(1, 1e-2 * abs(avg(bs_cash))) AND max(cf_drawdown) > 0) AS flag, CASE WHEN min(bs_cash) < 0 THEN 'high' ELSE 'medium' END AS priority, 'high' AS confidence, CASE WHEN min(bs_cash) < 0 THEN '' ELSE 'cash_plug' END AS cause,
+        arg_min(period_key, (bs_cash, period_key)) AS k, CAST(min(nth) FILTER (bs_cash < 0) AS DOUBLE) AS metric, CASE WHEN min(bs_cash) < 0 THEN count(*) FILTER (bs_cash < 0) ELSE count(*) + count(*) FILTER (cf_drawdown > 0) END AS n FROM m GROUP BY book),
+    d AS (SELECT book, min(period_key) AS k FROM y WHERE cf_dividends > 0 AND cf_fcf < 0 GROUP BY book),
+    f13 AS (SELECT b.book, 'F13' AS c, d.k IS NOT NULL AS flag, CASE WHEN cf_drawdown - cf_repayment > 0 THEN 'high' ELSE 'medium' END AS priority, 'high' AS confidence, '' AS cause, coalesce(d.k, '') AS k, cf_fcf + cf_drawdown - cf_repayment AS metric, 4 AS n
+        FROM (SELECT DISTINCT book FROM y) b LEFT JOIN d USING (book) LEFT JOIN y ON y.book = b.book AND y.period_key = d.k),
+    f14 AS (SELECT book, 'F14' AS c, min(covenant_headroom) <= 0 AS flag, 'high' AS priority, 'medium' AS confidence, '' AS cause, arg_min(period_key, (covenant_headroom, period_key)) AS k, max(CASE WHEN pnl_ebitda > 0 THEN (bs_debt - bs_cash) / pnl_ebitda END) AS metric, count(*) FILTER (covenant_headroom <= 0) AS n FROM y GROUP BY book),
+    a AS (SELECT * FROM f03 UNION ALL SELECT * FROM f04 UNION ALL SELECT * FROM f08 UNION ALL SELECT * FROM f13 UNION ALL SELECT * FROM f14)
+    SELECT book, c AS control_id, CASE WHEN flag THEN 'flagged' ELSE 'clear' END AS status, CASE WHEN flag THEN priority END AS priority, confidence, CASE WHEN flag THEN cause ELSE '' END AS cause, k AS first_key, round(metric, 2) AS metric, CASE WHEN flag THEN n ELSE 0 END AS n_refs FROM a"""
+
+
+@query(_full_sql())
+def frs_in_full(spark, sf_dir):
+    """Years of all lines, but for cash and drawdown, which are months."""
+    sums = graph.stage(st.months(spark, sf_dir))
+    monthly = ["bs.cash", "cf.drawdown"]
+    f = st.facts(spark, sf_dir, [c for c in _FULL if c not in monthly], sums=sums).unionByName(st.facts(spark, sf_dir, monthly, monthly=True, sums=sums))
+    out = credit.controls_in_full(f.withColumn("ref", F.concat_ws("!", "concept", "period_key")))
+    of = {"F04": "fcf", "F08": "runway", "F13": "fcfe", "F14": "nd_ebitda"}
+    metric = F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("control_id"))
+    value = F.when(F.col("control_id") != "F03", F.round(F.try_element_at("metrics", metric), 2))
+    return out.select("book", "control_id", "status", "priority", "confidence", "cause", F.coalesce(F.try_element_at("period_keys", F.lit(1)), F.lit("")).alias("first_key"), value.alias("metric"), F.size("cell_refs").cast("long").alias("n_refs"))
+
+
 query(_matrix_sql(), "frs_matrix")(_matrix)
 for _c in frs.CONTROLS:
     query(f"SELECT * FROM ({_matrix_sql()}) WHERE control_id = '{_c}'", f"frs_{_c.lower()}")(lambda spark, sf_dir, c=_c: _matrix(spark, sf_dir).where(F.col("control_id") == c))

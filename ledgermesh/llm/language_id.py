@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 BUCKETS = 1 << 15
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>"
 
@@ -102,7 +104,7 @@ def train(docs: DataFrame, train_docs: int = 3000, id_col: str = "doc_id", text_
     part = F.create_map(*[x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1.0, train_docs / r["count"])))])[F.col(lang_col)]
     draw = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 20)) < part * (1 << 20)
     sample = known.where(draw).select(F.col(lang_col).alias("l"), F.col(text_col).alias("text"))
-    counts = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # at most BUCKETS rows a language
     table = np.zeros((BUCKETS, len(langs)))
     table[got.column("bucket").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
@@ -126,4 +128,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
             cols = [pa.array([n[0] if n else "und" for n in names], pa.string()), pa.array([s[0] if s else 0.0 for s in shares], pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "held_out", "lang_pred", "score", "langs", "shares"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(predict, PREDICTED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(tidy(predict), PREDICTED)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, written
+from .memory import tidy
 
 SEGMENTS = "part int, seq int, doc_ids array<long>, sources array<string>, sizes array<long>, image binary, width int"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -140,10 +141,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, segme
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).repartition("doc_id")
-    held = written(dealt.mapInArrow(segments, SEGMENTS), "packing")
+    held = written(dealt.mapInArrow(tidy(segments), SEGMENTS), "packing")
     carry = written(_carry(held, window, targets), "packing-carry")
     small = carry.agg(F.coalesce(F.sum(F.size("carry")), F.lit(0))).first()[0] <= BROADCAST_IDS
-    return held.join(F.broadcast(carry) if small else carry, ["part", "seq"]).mapInArrow(pieces, PIECES)
+    return held.join(F.broadcast(carry) if small else carry, ["part", "seq"]).mapInArrow(tidy(pieces), PIECES)
 
 
 def _carry(held: DataFrame, window: int, targets: dict[str | None, float] | None) -> DataFrame:

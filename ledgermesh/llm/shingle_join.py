@@ -40,11 +40,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, ids_only, written
+from .memory import tidy
 from .shingles import shingle_sets
 
 PROFILE = "doc_id long, n int, set_key binary, group_key binary, prefix array<long>"
 #: Shingles in memory at once while counting.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def _int64(x: np.ndarray) -> pa.Array:
@@ -81,7 +82,7 @@ def frequent_shingles(docs: DataFrame, most: int, least: int = 8) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(token)
@@ -119,7 +120,7 @@ def profiles(docs: DataFrame, often: np.ndarray) -> DataFrame:
                 groups = [hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest() for s, p in zip(sets, prefixes)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(groups, pa.binary()), _lists(prefixes)], ["doc_id", "n", "set_key", "group_key", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, PROFILE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(make), PROFILE)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 some = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), _lists(list(shingle_sets(some.column(1).to_pylist())))], ["id", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "id long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(make), "id long, s array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def _inside(at: DataFrame, docs: DataFrame, often: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(behind)], ["id", "n", "behind"])
 
     texts = ids_only(docs, some.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", "text")
-    spots = texts.mapInArrow(deeper, "id long, n int, behind array<long>").select("id", "n", F.posexplode("behind").alias("pos", "token")).distinct()
+    spots = texts.mapInArrow(tidy(deeper), "id long, n int, behind array<long>").select("id", "n", F.posexplode("behind").alias("pos", "token")).distinct()
     spots = written(spots.join(some, "id"), "join-inside-spots")
     x, y = spots.alias("x"), spots.alias("y")
     late = F.greatest("x.pos", "y.pos")

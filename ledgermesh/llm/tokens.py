@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,11 @@ class TextEncoder:
     def __init__(self, path: str, limit: int = 800_000):
         """limit: the number of distinct words that a worker remembers at most."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        size = len(self._tokens(spec["model"]["vocab"]).union(t["content"] for t in spec["added_tokens"]))
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_lower = pc.ascii_lower(pa.array(self.added, pa.string())).to_pylist()
         self.fast, self.words = self._ranks(spec)
@@ -50,6 +50,17 @@ class TextEncoder:
             mark = self._library(_MARK)
             self.mark = int(mark[0]) if len(mark) == 1 else -1
 
+    @staticmethod
+    def _tokens(vocab: dict | list) -> set[str]:
+        return set(vocab) if isinstance(vocab, dict) else {token for token, _ in vocab}
+
+    @cached_property
+    def tok(self):
+        """The library's own tokenizer, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranks(self, spec: dict):
         import tiktoken
 

@@ -175,14 +175,14 @@ def range_gaps(sums: DataFrame, rows: DataFrame) -> DataFrame:
     """Article cells of a block that a total's ranges leave out.
 
     sums: workbook_id, sheet, block_id, addr, row, col and boxes (array of r1, c1, r2, c2);
-    rows: workbook_id, sheet, block_id, row, check_row.  The join is by block,
-    so a total meets the rows of its own block only.
+    rows: workbook_id, sheet, block_id, row, check_row.  A total meets the list of
+    its block's rows, which a sheet bounds.
     """
     on = ["workbook_id", "sheet", "block_id"]
-    r = rows.where(~F.col("check_row")).select(*on, F.col("row").alias("article"))
-    inside = F.exists("boxes", lambda b: (b["c1"] <= F.col("col")) & (F.col("col") <= b["c2"]) & (b["r1"] <= F.col("article")) & (F.col("article") <= b["r2"]))
-    left = sums.join(r, on).where((F.col("article") != F.col("row")) & ~inside)
-    return left.groupBy(*on, "addr").agg(F.array_sort(F.collect_list("article")).alias("missing"))
+    r = rows.where(~F.col("check_row")).groupBy(*on).agg(F.array_sort(F.collect_set("row")).alias("articles"))
+    inside = lambda article: F.exists("boxes", lambda b: (b["c1"] <= F.col("col")) & (F.col("col") <= b["c2"]) & (b["r1"] <= article) & (article <= b["r2"]))
+    missing = F.filter("articles", lambda article: (article != F.col("row")) & ~inside(article))
+    return sums.join(r, on).select(*on, "addr", missing.alias("missing")).where("size(missing) > 0")
 
 
 def double_counts(covered: DataFrame) -> DataFrame:

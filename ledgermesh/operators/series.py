@@ -35,7 +35,8 @@ def points(rows: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
     axis = headers.withColumn("edge_period", F.coalesce(F.col("col").isin(F.min(forecast).over(block), F.max(forecast).over(block)), F.lit(False)))
     every = rows.where(~F.coalesce("check_row", F.lit(False))).select(*ROW).join(axis.select("workbook_id", "sheet", "block_id", "col", "role", "edge_period"), ["workbook_id", "sheet", "block_id"])
     on = ["workbook_id", "sheet", "row", "col"]
-    return every.join(cells.select(*on, "template", "formula_raw", "cached_value", "numbers", "sheets"), on, "left")
+    # cells grow behind the compiler, which the planner can't see: never to all tasks
+    return every.join(cells.select(*on, "template", "formula_raw", "cached_value", "numbers", "sheets").hint("merge"), on, "left")
 
 
 def drift(points: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import a1, dates, labels, numeric, periods
 from ..operators import credit, detectors, frs, graph, identities, lineage, mapping, report, rollup, series
-from . import formula_queries, layout_queries  # noqa: F401  they register their queries
+from . import formula_queries, layout_queries, workbook_queries  # noqa: F401  they register their queries
 from . import statements as st
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .registry import table as _t

@@ -72,13 +72,17 @@ def detector_xlm_or_vba(spark, sf_dir):
 
 
 def _order_lines(spark, sf_dir):
-    at = [F.lit("w").alias("workbook_id"), F.lit("S").alias("sheet")]
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("col"))
+    """Orders as lines of 40 books."""
+    books = 40
+    at = lambda k: [(k % books).cast("string").alias("workbook_id"), F.lit("S").alias("sheet")]
     k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
     formula = F.when((k + F.col("col")) % 9 == 0, F.lit(None).cast("string")).when((F.col("col") == 4) & (k % 4 == 0), "=$A$1*3").when(k % 5 == 0, F.concat(F.lit("=$A$1*"), (F.col("col") % 3).cast("string"))).otherwise("=$A$1*2")
-    cells = o.select(*at, k.cast("int").alias("row"), "col", formula.alias("formula_raw"), F.lit("12").alias("cached_value"))
-    rows = table(spark, sf_dir, "orders").select(*at, F.lit("b").alias("block_id"), k.cast("int").alias("row"), F.lit(False).alias("check_row"))
-    headers = spark.range(2, 9).select(*at, F.lit("b").alias("block_id"), F.col("id").cast("int").alias("col"), F.when(F.col("id") <= 4, "historical").otherwise("forecast").alias("role"))
+    # a table of one file is one task: lines are dealt out before they are compiled
+    cells = o.repartition("o_orderkey").select("o_orderkey", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("col")).select(*at(k), k.cast("int").alias("row"), "col", formula.alias("formula_raw"), F.lit("12").alias("cached_value"))
+    rows = o.select(*at(k), F.lit("b").alias("block_id"), k.cast("int").alias("row"), F.lit(False).alias("check_row"))
+    columns = o.select(*at(k)).distinct().select("*", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("col"))
+    headers = columns.select("workbook_id", "sheet", F.lit("b").alias("block_id"), "col", F.when(F.col("col") <= 4, "historical").otherwise("forecast").alias("role"))
     return series.drift(series.points(rows, headers, formulas.compile_cells(cells)))
 
 
@@ -100,7 +104,8 @@ def detector_series(spark, sf_dir):
 
 
 def _totals(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("int").alias("n"))
+    # each order is a sheet: what follows goes by sheet
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("int").alias("n")).repartition("l_orderkey")
     at = [F.lit("w").alias("workbook_id"), F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("sheet")]
     last = F.when(F.col("n") % 2 == 0, F.col("n") - 1).otherwise(F.col("n"))
     one = F.struct(F.lit(9).alias("row"), F.concat(F.lit("=SUM(B1:B"), last.cast("string"), F.lit(")")).alias("formula_raw"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import a1, dates, labels, numeric, periods
-from ..operators import credit, detectors, frs, graph, identities, lineage, mapping, report, rollup, series
+from ..operators import credit, detectors, frs, graph, identities, lineage, mapping, messages, report, rollup, series
 from . import formula_queries, layout_queries, workbook_queries  # noqa: F401  they register their queries
 from . import statements as st
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -78,7 +78,7 @@ def detector_below_breakeven(spark, sf_dir):
     return detectors.below_breakeven(f.unionByName(opex))
 
 
-for _name, _concept in (("cogs", "pnl.cogs"), ("capex", "cf.capex"), ("inventory", "bs.inventory"), ("ap", "bs.ap")):
+for _name, _concept in (("cogs", "pnl.cogs"), ("capex", "cf.capex"), ("inventory", "bs.inventory"), ("ap", "bs.ap"), ("headcount", "ops.headcount"), ("wc", "bs.ar")):
 
     def _volume(spark, sf_dir, concept=_concept):
         f = st.facts(spark, sf_dir, ["pnl.volume", concept])
@@ -193,13 +193,24 @@ def _full_sql() -> str:
     SELECT book, c AS control_id, CASE WHEN flag THEN 'flagged' ELSE 'clear' END AS status, CASE WHEN flag THEN priority END AS priority, confidence, CASE WHEN flag THEN cause ELSE '' END AS cause, k AS first_key, round(metric, 2) AS metric, CASE WHEN flag THEN n ELSE 0 END AS n_refs FROM a"""
 
 
-@query(_full_sql())
-def frs_in_full(spark, sf_dir):
-    """Years of all lines, but for cash and drawdown, which are months."""
+def _in_full(spark, sf_dir):
+    """Results on years of all lines, but for cash and drawdown, which are months."""
     sums = graph.stage(st.months(spark, sf_dir))
     monthly = ["bs.cash", "cf.drawdown"]
     f = st.facts(spark, sf_dir, [c for c in _FULL if c not in monthly], sums=sums).unionByName(st.facts(spark, sf_dir, monthly, monthly=True, sums=sums))
-    out = credit.controls_in_full(f.withColumn("ref", F.concat_ws("!", "concept", "period_key")))
+    return credit.controls_in_full(f.withColumn("ref", F.concat_ws("!", "concept", "period_key")))
+
+
+@query(f"""SELECT book, control_id, status, CASE control_id {' '.join(f"WHEN '{c[0]}' THEN '{c[2]}'" for c in messages.CONTROLS if c[0])} END AS impact, CASE WHEN status = 'clear' THEN 'The threshold holds on the data there is.' ELSE 'flagged' END AS reason,
+    CASE cause {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in messages.CAUSES)} ELSE '' END AS cause, n_refs FROM ({_full_sql()})""")
+def report_risk_screen(spark, sf_dir):
+    screen = messages.risk_screen(_in_full(spark, sf_dir), credit.NEEDS)
+    return screen.select("book", "control_id", "status", "impact", F.when(F.col("status") == "clear", F.col("status_reason")).otherwise(F.col("status")).alias("reason"), "cause", F.size("cell_refs").cast("long").alias("n_refs"))
+
+
+@query(_full_sql())
+def frs_in_full(spark, sf_dir):
+    out = _in_full(spark, sf_dir)
     of = {"F04": "fcf", "F08": "runway", "F13": "fcfe", "F14": "nd_ebitda"}
     metric = F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("control_id"))
     value = F.when(F.col("control_id") != "F03", F.round(F.try_element_at("metrics", metric), 2))
@@ -317,10 +328,12 @@ def number_parse(spark, sf_dir):
 # --- series
 
 
-@query("""WITH p AS (SELECT user_id, event_id, event_type AS t FROM events), c AS (SELECT user_id, t, count(*) AS n FROM p GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS size FROM c)
+@query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_id % 10 < 8 THEN 'view' ELSE event_type END AS t FROM events), c AS (SELECT user_id, t, count(*) AS n FROM p GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS size FROM c)
     SELECT p.user_id, p.event_id, m.t AS majority, CASE WHEN p.t = 'error' THEN 'value_instead_of_formula' ELSE 'template_change' END AS kind FROM p JOIN (SELECT * FROM m WHERE t <> 'error' AND n >= 7e-1 * size) m USING (user_id) WHERE p.t <> m.t""")
 def series_majority_outliers(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("template"))
+    # eight of ten events of a user are views: a majority, and what is off it
+    kind = F.when(F.col("event_id") % 10 < 8, "view").otherwise(F.col("event_type"))
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", F.when(kind != "error", kind).alias("template"))
     return series.outliers(e, ("user_id",)).select("user_id", "event_id", "majority", "kind")
 
 
@@ -473,6 +486,24 @@ def report_verdict(spark, sf_dir):
     return report.verdict(found, matrix, issues, found.where("book % 2 = 0").select("book").distinct()).select("book", "ready_for_credit", "status", "headline")
 
 
+@query(f"""WITH {_REPORT} SELECT book, id, ord, CASE detector WHEN 'identity.I1' THEN 'An accounting identity does not hold' WHEN 'excel_error' THEN 'A cell shows an error' WHEN 'unused_cell' THEN 'A cell feeds no result' WHEN 'frs.F03' THEN 'A credit control is flagged' WHEN 'circular' THEN 'Cells depend on themselves'
+    WHEN 'external_link' THEN 'The book reads another file' ELSE 'A number is written into a formula' END AS title, 'Detector ' || detector || '; cells S!A' || ord || '; lines ' || CASE WHEN detector = 'literal_in_ast' THEN 'pnl.ebitda' ELSE '—' END || '.' AS evidence FROM f""")
+def report_cards(spark, sf_dir):
+    found = _report(spark, sf_dir).withColumn("id", F.concat_ws("@", "id", "ord"))
+    c = messages.cards(found)
+    return c.select("book", F.substring_index("id", "@", 1).alias("id"), F.substring_index("id", "@", -1).cast("long").alias("ord"), "title", "evidence")
+
+
+@query("""WITH i AS (SELECT o_orderkey, o_custkey % 25 AS book, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, o_orderkey % 5 = 0 AS bare FROM orders)
+    SELECT book, o_orderkey, priority FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, o_orderkey) AS n FROM i) WHERE n <= 20 AND NOT bare""")
+def report_top_issues(spark, sf_dir):
+    k = F.col("o_orderkey")
+    refs = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("S!A"), k.cast("string"))))
+    priority = F.element_at(F.array(*map(F.lit, report.PRIORITIES)), (k % 3 + 1).cast("int"))
+    issues = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("book"), k.alias("ord"), "o_orderkey", priority.alias("priority"), refs.alias("cell_refs"))
+    return report.top_issues(issues).select("book", "o_orderkey", "priority")
+
+
 @query("""WITH i AS (SELECT o_orderkey, o_custkey % 25 AS book, o_orderpriority, o_totalprice FROM orders) SELECT book, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY o_orderpriority, o_orderkey) AS n FROM i) WHERE n <= 20""")
 def topn_issues(spark, sf_dir):
     i = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("book"), "o_orderpriority")

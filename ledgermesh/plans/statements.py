@@ -31,16 +31,17 @@ CONCEPTS = {
     "cf.dividends": "CASE WHEN book % 3 = 0 THEN rev * 3e-2 ELSE 0e0 END",
     "cf.drawdown": "rev * 4e-2",
     "cf.repayment": "rev * 2e-2",
-    "bs.cash": "CASE WHEN book % 6 = 2 THEN rev_c * 1e-1 - qty_c * 9e2 ELSE rev_c * 1e-1 END",
+    "bs.cash": "CASE WHEN book % 12 = 7 THEN rev_c * 9e-2 WHEN book % 6 = 2 THEN rev_c * 1e-1 - qty_c * 9e2 ELSE rev_c * 1e-1 END",
     "bs.retained_earnings": "CASE WHEN book % 3 = 0 THEN rev_c * 9e-2 ELSE rev_c * 12e-2 END",
     "bs.debt": "CASE WHEN book % 10 = 6 THEN rev_c * 5e-2 ELSE rev_c * 2e-2 END",
-    "bs.ppe": "gross_c * 4e-2 - rev_c * 5e-2",
+    "bs.ppe": "CASE WHEN book % 9 = 5 THEN gross_c * 4e-2 - rev_c * 3e-2 ELSE gross_c * 4e-2 - rev_c * 5e-2 END",
     "bs.equity": "rev_c * 12e-2 + 1000000e0",
     "bs.liabilities": "rev_c * 3e-2",
     "bs.assets_total": "CASE WHEN book % 7 = 3 THEN rev_c * 16e-2 + 1000000e0 ELSE rev_c * 15e-2 + 1000000e0 END",
     "bs.ar": "rev * 2e-1 + qty * 5e2",
     "bs.inventory": "gross * 1e-1",
     "bs.ap": "gross * 8e-2",
+    "ops.headcount": "qty * 1e-1",
     "pnl.tax_rate": "25e-2",
     "pnl.interest_rate": "8e-2",
     "cov.dscr": "rev / gross + (book % 5) * 1e-1 - 2e-1",

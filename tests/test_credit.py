@@ -80,3 +80,27 @@ def test_no_facts_and_facts_without_cells(spark):
     bare = spark.createDataFrame(BOOKS, FACT).where("book = 'loss'").drop("ref")
     got = credit.controls_in_full(bare).where(F.col("control_id") == "F03").first()
     assert got["status"] == "flagged" and got["cell_refs"] == []
+
+
+def test_numbers_as_text(spark):
+    from ledgermesh.operators.messages import figure_text
+
+    cases = [(0.0, "number", "0"), (-1234567.0, "number", "−1 234 567"), (1234.5, "number", "1 234.5"), (0.126, "number", "0.13"), (0.256, "share", "25.6%"), (1.5, "ratio", "1.5x"), (1.0, "flag", "yes"), (100.0, "number", "100")]
+    df = spark.createDataFrame([(x, k) for x, k, _ in cases], "x double, k string").select(figure_text(F.col("x"), F.col("k")).alias("t"))
+    assert [r["t"] for r in df.collect()] == [t for *_, t in cases]
+
+
+def test_texts_of_controls_and_findings(spark):
+    from ledgermesh.operators import messages
+
+    results = credit.controls_in_full(spark.createDataFrame(BOOKS, FACT).where("book in ('derived', 'room', 'wet')"))
+    screen = messages.risk_screen(results, credit.NEEDS)
+    got = {(r["book"], r["control_id"]): r for r in screen.collect()}
+    assert got["derived", "F04"]["key_fact"] == "net income 12; operating cash flow 8; accruals 4; free cash flow −4." and got["derived", "F04"]["cause"] == "investment takes the cash"
+    assert got["room", "F14"]["status_reason"] == "The threshold is broken; the cells are listed (covenant.headroom@2024)."
+    assert got["room", "F03"]["status_reason"] == "A line that the control needs is not mapped (pnl.ebitda)." and got["room", "F03"]["key_fact"] == "There is no figure."
+    assert [(r["book"], r["control_id"]) for r in messages.positives(screen).collect()] == [("wet", "F08")]
+    found = spark.createDataFrame([("b", "f_001", "identity.I1", ["S!A1", "S!B2"], []), ("b", "f_002", "agg_range_gap", [], ["pnl.cogs"]), ("b", "f_003", "new kind", [], [])], "book string, id string, detector string, cell_refs array<string>, metrics array<string>")
+    cards = {r["id"]: (r["title"], r["evidence"]) for r in messages.cards(found).collect()}
+    assert cards["f_001"] == ("An accounting identity does not hold", "Detector identity.I1; cells S!A1, S!B2; lines —.")
+    assert cards["f_002"][0] == "A total misses or repeats lines" and cards["f_003"] == ("Finding", "Detector new kind; cells —; lines —.")

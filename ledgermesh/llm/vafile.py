@@ -3,8 +3,10 @@
 Every dimension is cut into ``2 ** bits`` equal cells between its least and
 greatest value over all rows.  A vector file holds the cell numbers of up to
 ``vector_block`` vectors, one byte for each dimension; the exact vectors stay in
-a table of their own.  Files are dealt to groups, and each block of queries goes
-to every group, where it scans the group's files one after the other.
+a table of their own.  Files are dealt to groups and blocks of queries to sets of
+a few; a task takes a set and a group, and each block of the set scans the
+group's files one after the other.  So tasks are more, not longer, where queries
+or vectors are more.
 
 The product of a query with the corner of a vector's cell bounds the score: it
 is at most that plus what positive components of the query add over a cell, and
@@ -48,7 +50,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
     return ok.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, vector_block: int = 8192, group_files: int = 64) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, vector_block: int = 8192, group_files: int = 64, set_blocks: int = 8) -> DataFrame:
     """For each row of queries (same columns) its k greatest scores: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     v, q = quantised(vectors, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale)
@@ -108,8 +110,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int =
     n = files.count()
     groups = max(1, -(-n // group_files), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     files = files.withColumn("group", F.pmod(F.xxhash64("file"), F.lit(groups)))
-    everywhere = asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    bounds = written(everywhere.join(files.hint("merge"), "group").select("block", "q_ids", "q_exact", "ids", "cells").mapInArrow(scan, BOUNDS).groupBy("query_id", "id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "vectors-bounds")
+    sets = max(1, -(-asked.count() // set_blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    everywhere = asked.withColumn("set", F.pmod(F.xxhash64("block"), F.lit(sets))).withColumn("group", every(groups))
+    bounds = written(everywhere.join(files.withColumn("set", every(sets)).hint("merge"), ["set", "group"]).select("block", "q_ids", "q_exact", "ids", "cells").mapInArrow(scan, BOUNDS).groupBy("query_id", "id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "vectors-bounds")
 
     def exact(pairs: DataFrame) -> DataFrame:
         both = pairs.select("query_id", "id").join(v, "id").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")

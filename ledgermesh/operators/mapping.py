@@ -88,8 +88,16 @@ def nearest_concepts(rows: DataFrame, concepts: DataFrame, row_id: str, vector:
     doubles = lambda df, i, v: df.select(i, F.col(v).cast("array<double>").alias("v"))
     left = doubles(rows, row_id, vector).mapInArrow(pack, names_and(kind, "m"))
     n = concepts.count()
-    right = doubles(concepts, "concept", "v").repartition(max(1, -(-n // BLOCK))).mapInArrow(pack, names_and(named, "m")).select(F.col("ids").alias("names"), F.col("m").alias("c"), "d")
-    out = left.join(F.broadcast(right) if n <= BLOCK else right, "d").select("ids", "m", "names", "c", "d").mapInArrow(score, f"_id {kind}, ranked array<struct<score:double,concept:{named}>>")
+    parts = max(1, -(-n // BLOCK))
+    right = doubles(concepts, "concept", "v").repartition(parts).mapInArrow(pack, names_and(named, "m")).select(F.col("ids").alias("names"), F.col("m").alias("c"), "d")
+    if parts == 1:
+        both = left.join(F.broadcast(right), "d")
+    else:
+        # each block of rows meets each block of centroids, dealt by both over all tasks
+        deals, every = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        both = left.withColumn("deal", F.pmod(F.xxhash64("m"), F.lit(deals)).cast("int")).withColumn("part", every(parts))
+        both = both.join(right.withColumn("part", F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int")).withColumn("deal", every(deals)), ["d", "part", "deal"])
+    out = both.select("ids", "m", "names", "c", "d").mapInArrow(score, f"_id {kind}, ranked array<struct<score:double,concept:{named}>>")
     order = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["concept"] < y["concept"], -1).otherwise(1)
     out = out.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ranked")), order), 1, best).alias("ranked"))
     first = lambda n, c: F.try_element_at("ranked", F.lit(n))[c]

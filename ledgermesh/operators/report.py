@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 #: Conclusions and issues of a report, and which detectors join in which conclusion.
 MAX_CONCLUSIONS, MAX_ISSUES = 8, 20
 SKIPPED = ("unused_cell", "xlm_or_vba")
@@ -55,9 +57,17 @@ def related(found: DataFrame) -> DataFrame:
     return out.select("book", "id", F.array_sort(F.array_remove("ids", F.col("id"))).alias("related_ids")).where("size(related_ids) > 0")
 
 
-def _combination(found: DataFrame, title: str, left: Column, right: Column, fits: Column) -> DataFrame:
-    """book, ord, title of the findings that a rule joins; the right side has few findings of a book."""
-    pairs = found.where(left).alias("l").join(found.where(right).alias("r"), F.col("l.book") == F.col("r.book")).where(fits)
+def _marked(**lists: str) -> Column:
+    """The entries of several lists as one, each with the name of its kind."""
+    named = lambda kind: lambda x: F.concat(F.lit(f"{kind}:"), x)
+    parts = [F.transform(c, named(kind)) for kind, c in lists.items()]
+    return F.array_distinct(F.concat(*parts)) if parts else F.array(F.lit(""))
+
+
+def _combination(found: DataFrame, title: str, left: Column, right: Column, fits: Column, of_left: Column, of_right: Column) -> DataFrame:
+    """book, ord, title of the findings that a rule joins: those of both sides that have an entry in common and fit."""
+    side = lambda where, entries, name: found.where(where).withColumn("entry", F.explode(entries)).alias(name)
+    pairs = side(left, of_left, "l").join(side(right, of_right, "r"), (F.col("l.book") == F.col("r.book")) & (F.col("l.entry") == F.col("r.entry"))).where(fits)
     return pairs.select(F.col("l.book").alias("book"), F.explode(F.array("l.ord", "r.ord")).alias("ord")).distinct().withColumn("title", F.lit(title))
 
 
@@ -71,15 +81,16 @@ def conclusions(found: DataFrame) -> DataFrame:
     """
     d = F.col("detector")
     same_period = (F.size("l.cols") == 0) | (F.size("r.cols") == 0) | _meet(F.col("l.cols"), F.col("r.cols"))
-    touch = _meet(F.col("l.metrics"), F.col("r.metrics")) | _meet(F.col("l.outputs"), F.col("r.outputs"))
+    touch, nothing = _marked(metric="metrics", output="outputs"), _marked()
     rules = (
-        ("hardcoded_ebitda", d.isin(*HARDCODED) & ~F.array_contains("tags", "hist_manual_adjustment"), d == "frs.F02", same_period & touch),
-        ("balance_and_cash", d == "identity.I1", d == "frs.F08", same_period),
-        ("external_assumption", ~d.isin("external_link", *SKIPPED), d == "external_link", touch | _meet(F.col("r.cell_refs"), F.col("l.path"))),
+        ("hardcoded_ebitda", d.isin(*HARDCODED) & ~F.array_contains("tags", "hist_manual_adjustment"), d == "frs.F02", same_period, touch, touch),
+        ("balance_and_cash", d == "identity.I1", d == "frs.F08", same_period, nothing, nothing),
+        ("external_assumption", ~d.isin("external_link", *SKIPPED), d == "external_link", F.lit(True), _marked(metric="metrics", output="outputs", cell="path"), _marked(metric="metrics", output="outputs", cell="cell_refs")),
     )
+    found = stage(found)
     rest, parts = found, []
-    for n, (title, left, right, fits) in enumerate(rules):
-        picked = _combination(rest, title, left, right, fits)
+    for n, (title, *rule) in enumerate(rules):
+        picked = stage(_combination(rest, title, *rule))
         parts.append(rest.join(picked, ["book", "ord"]).withColumn("kind", F.lit("combo")).withColumn("rank", F.lit(n)))
         rest = rest.join(picked.select("book", "ord"), ["book", "ord"], "left_anti")
     trust = d.isin(*TRUST) | (d.isin(*HARDCODED) & (F.size("metrics") > 0))

@@ -92,6 +92,13 @@ def range_edges(edges: DataFrame) -> DataFrame:
     return points.unionByName(cells).groupBy("src", "dst").agg(F.bool_or("truncated").alias("truncated"))
 
 
+def nodes(pairs: DataFrame, cells: DataFrame, book: str = "workbook_id") -> DataFrame:
+    """book, node, n_reads, n_read_by of every cell (book, ref) and every end of a pair (book, src, dst), those without a pair included."""
+    ends = pairs.select(book, F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(pairs.select(book, F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    every = ends.unionByName(cells.select(book, F.col("ref").alias("node"), F.lit(0).alias("out"), F.lit(0).alias("in")))
+    return every.groupBy(book, "node").agg(F.sum("out").alias("n_reads"), F.sum("in").alias("n_read_by"))
+
+
 def strong_components(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     """The least node of each node's strongly connected component, by one depth-first walk (nodes are 0 to n - 1)."""
     order = np.argsort(src, kind="stable")

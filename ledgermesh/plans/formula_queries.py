@@ -43,6 +43,16 @@ def formula_graph_pairs(spark, sf_dir):
     return g.select(F.split_part("src", F.lit("|"), F.lit(1)).alias("workbook_id"), F.split_part("src", F.lit("|"), F.lit(2)).alias("src"), "cells", "truncated")
 
 
+@query(f"""WITH {_P}, e AS (SELECT w, 'S!C' || r AS src, unnest(CASE k WHEN 0 THEN ['S!A' || r, 'S!B' || r] WHEN 1 THEN list_concat(list_transform(range(1, least(n, 2000) + 1), lambda i: 'S!A' || i), ['S!B1']) WHEN 2 THEN ['Other!C' || r] WHEN 5 THEN ['S!A' || r, 'My S!B' || r] WHEN 6 THEN ['S!C' || r] END) AS dst FROM p),
+    u AS (SELECT w, src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT w, dst, 0, 1 FROM e UNION ALL SELECT w, 'S!C' || r, 0, 0 FROM p) SELECT w AS workbook_id, node, CAST(sum(o) AS BIGINT) AS n_reads, CAST(sum(i) AS BIGINT) AS n_read_by FROM u GROUP BY 1, 2""")
+def formula_graph_nodes(spark, sf_dir):
+    """Cells with what they read and what reads them, those that no formula names included."""
+    parts = _parts(spark, sf_dir)
+    edges = formulas.edges_of(parts).where("kind in ('ref', 'cross_sheet', 'range')").withColumn("src", F.concat_ws("|", "workbook_id", "src"))
+    g = graph.range_edges(edges).select(F.split_part("src", F.lit("|"), F.lit(1)).alias("workbook_id"), F.split_part("src", F.lit("|"), F.lit(2)).alias("src"), "dst")
+    return graph.nodes(g, parts.select("workbook_id", F.concat_ws("!", "sheet", "addr").alias("ref")))
+
+
 @query(f"WITH {_P} SELECT w AS workbook_id, 'C' || r AS addr FROM p WHERE k = 2")
 def detector_error_masking(spark, sf_dir):
     return detectors.error_masking(_parts(spark, sf_dir)).select("workbook_id", "addr")

@@ -30,13 +30,28 @@ def open_catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return views
 
 
+#: An entry of an ontology file up to the next one; its id; its labels in brackets, or a line each.
+_ENTRY = r"(?ms)^[ \t]*-[ \t]*id:[ \t]*(.*?)(?=^[ \t]*-[ \t]*id:|\z)"
+_ID = r"^(?:\"([^\"\n]*)\"|'([^'\n]*)'|([^\s#]+))"
+_INLINE, _BLOCK = r"(?s)\blabels:[ \t]*\[((?:\"[^\"]*\"|'(?:[^']|'')*'|[^\]\"'])*)\]", r"\blabels:[ \t]*(?:#[^\n]*)?\n((?:[ \t]*(?:-[ \t]+[^\n]*|#[^\n]*)?\n?)+)"
+_ITEM = r"\"([^\"]*)\"|'((?:[^']|'')*)'|([^,\"'\s][^,\"'\n]*)"
+_LINE = r"(?m)^[ \t]*-[ \t]+(?:\"([^\"\n]*)\"|'((?:[^'\n]|'')*)'|([^\"'\n#][^\n#]*))"
+
+
 def ontology(spark: SparkSession, path: str) -> DataFrame:
-    """(concept, label) of an ontology file: entries ``- id: x`` with ``labels: [a, b]``, a row a label."""
-    entry = r"-\s*id:\s*(\S+)\s*\n\s*labels:\s*\[([^\]]*)\]"
+    """(concept, label) of an ontology file, a row a label.
+
+    Entries begin with ``- id: x`` and have ``labels:`` in brackets or as a list,
+    ids and labels bare or quoted; what else an entry has is passed over.
+    """
     text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
-    pairs = F.arrays_zip(F.regexp_extract_all("t", F.lit(entry), F.lit(1)).alias("id"), F.regexp_extract_all("t", F.lit(entry), F.lit(2)).alias("labels"))
-    each = text.select(F.explode(pairs).alias("p")).select(F.col("p.id").alias("concept"), F.explode(F.split("p.labels", ",")).alias("label"))
-    return each.select("concept", F.trim(F.regexp_replace("label", "[\"']", "")).alias("label")).where("label <> ''")
+    entry = text.select(F.explode(F.regexp_extract_all(F.concat("t", F.lit("\n")), F.lit(_ENTRY), F.lit(1))).alias("e"))
+    some = lambda c, pattern: F.concat(*[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)])
+    inline, block = F.regexp_extract("e", _INLINE, 1), F.regexp_extract("e", _BLOCK, 1)
+    items = lambda c, pattern: F.zip_with(F.zip_with(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2)], lambda a, b: F.concat(a, F.replace(b, F.lit("''"), F.lit("'")))), F.regexp_extract_all(c, F.lit(pattern), F.lit(3)), lambda a, b: F.concat(a, b))
+    labels = F.when(inline != "", items(inline, _ITEM)).otherwise(items(block, _LINE))
+    each = entry.select(some(F.col("e"), _ID).alias("concept"), F.explode(labels).alias("label"))
+    return each.select("concept", F.trim("label").alias("label")).where("label <> '' and concept <> ''")
 
 
 def load_glossary(spark: SparkSession, path: str) -> DataFrame:

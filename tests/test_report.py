@@ -96,3 +96,28 @@ def test_circles_are_meant_by_concept_not_by_part_of_its_name(spark):
     groups = spark.createDataFrame([("w", "S!A1", "S!A1"), ("v", "S!A1", "S!A1"), ("u", "S!A1", "S!A1")], "workbook_id string, node string, component string")
     rows = spark.createDataFrame([("w", "S", 1, "pnl.interest_rate", "Rate"), ("v", "S", 1, "pnl.interest", "x"), ("u", "S", 1, None, "Cash sweep")], "workbook_id string, sheet string, row int, concept_id string, label string")
     assert {r["workbook_id"]: r["severity"] for r in detectors.circular(groups, rows).collect()} == {"w": "error", "v": "warning", "u": "warning"}
+
+
+def test_ontology_in_every_spelling(spark, tmp_path):
+    (tmp_path / "o.yaml").write_text("""# concepts
+concepts:
+  - id: pnl.revenue
+    labels: [Revenue, "Sales, net", 'Owner''s sales', Выручка]
+    note: "labels of a kind"
+  - id: "bs.cash"   # quoted
+    labels:
+      - Cash
+      # a remark
+      - "Cash: at hand"
+      - 'Bank''s'
+    parent: bs
+  - id: cf.fcf
+    labels: []
+  - id: 'x.y'
+    labels: [
+      One,
+      Two words
+    ]
+""", encoding="utf-8")
+    got = sorted(tuple(r) for r in store.ontology(spark, str(tmp_path / "o.yaml")).collect())
+    assert got == sorted([("pnl.revenue", "Revenue"), ("pnl.revenue", "Sales, net"), ("pnl.revenue", "Owner's sales"), ("pnl.revenue", "Выручка"), ("bs.cash", "Cash"), ("bs.cash", "Cash: at hand"), ("bs.cash", "Bank's"), ("x.y", "One"), ("x.y", "Two words")])

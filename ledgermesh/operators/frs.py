@@ -143,7 +143,8 @@ def frs_matrix(yearly: DataFrame, monthly: DataFrame) -> DataFrame:
 
     status: flagged, clear, insufficient (what would tell is not mapped) or not_applicable (a needed concept is not mapped).
     """
-    have = yearly.groupBy("book").agg(F.collect_set("concept").alias("have"))
+    # a line of months only is there as well
+    have = yearly.select("book", "concept").unionByName(monthly.select("book", "concept")).groupBy("book").agg(F.collect_set("concept").alias("have"))
     flags = yearly_flags(yearly).join(monthly_flags(monthly), "book", "full").join(have, "book", "left")
     rows = []
     for control, needs in CONTROLS.items():

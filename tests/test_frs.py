@@ -21,9 +21,11 @@ def test_plan_against_fact_working_capital_and_coverage(spark):
     got = matrix(spark, rows, [("a", "bs.cash", "2026-01", f, 5.0), ("a", "bs.cash", "2026-02", f, -1.0)])
     at = lambda book, control: (got[book, control]["status"], got[book, control]["period_key"], got[book, control]["metric"])
     assert at("a", "F01") == ("flagged", "2025", pytest.approx(0.15)) and at("b", "F01") == ("flagged", "2025", pytest.approx(-0.15))
-    assert at("a", "F05")[0] in ("clear", "flagged") and at("b", "F05")[0] == "not_applicable"
+    # receivables grow by as much as revenue does
+    assert at("a", "F05") == ("flagged", "2026", 1.0) and at("b", "F05")[0] == "not_applicable"
     assert at("a", "F07") == ("flagged", "2026", 0.9) and at("b", "F07") == ("flagged", "2024", 1.2)
-    assert at("a", "F08")[0] in ("flagged", "not_applicable")
+    # cash is a line of months only; nothing tells of covenants
+    assert at("a", "F08") == ("flagged", "2026-02", 1.0) and at("b", "F08")[0] == "not_applicable" and at("a", "F14")[0] == "insufficient"
     assert {(b, c) for b, c in got} == {(b, f"F{i:02d}") for b in "ab" for i in range(1, 15)}
     found = frs_candidates(frs_matrix(spark.createDataFrame(rows, FACT), spark.createDataFrame([], FACT)))
     assert {(r["book"], r["detector"]) for r in found.collect()} >= {("a", "frs.F01"), ("a", "frs.F07"), ("b", "frs.F07")}

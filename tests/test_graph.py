@@ -38,3 +38,27 @@ def test_cycles_inside_books(spark):
     small = edges.where("book < 99")
     assert {k: v for k, v in got.items() if k[0] < 99} == {(r["book"], r["node"]): r["component"] for r in graph.circular_in_books(small, most_edges=1).collect()}
     assert graph.circular_in_books(edges.limit(0)).count() == 0
+
+
+def test_reads_of_cells_by_runs(spark):
+    """Runs give what expanded ranges give: overlaps, whole columns, wide ranges past the cap, names that are no address."""
+    rng, kinds = random.Random(3), []
+    letter = lambda n: (chr(64 + (n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+    for k in range(60):
+        src, sheet = f"S!Z{k // 3}", rng.choice(["S", "My S"])
+        c1, r1, w, h = rng.randint(1, 9), rng.randint(1, 9), rng.choice([1, 1, 2, 30, 60]), rng.choice([1, 3, 90, 5000])
+        kinds += [("b", src, "range", f"{sheet}!{letter(c1)}{r1}:{letter(c1 + w - 1)}{r1 + h - 1}"), ("b", src, rng.choice(["ref", "cross_sheet"]), f"{sheet}!{letter(c1)}{rng.randint(1, 12)}")]
+    kinds += [("b", "S!Z1", "range", "S!2:3"), ("b", "S!Z2", "range", "S!A:C"), ("b", "S!Z2", "ref", "S!ABCD7"), ("b", "S!Z2", "ref", "S!ABCD7"), ("b", "S!Z3", "external", "[1]X!A1"), ("c", "S!Z1", "ref", "S!A1")]
+    edges = spark.createDataFrame(kinds, "workbook_id string, src string, kind string, dst string")
+    pairs = [(b, r["src"], r["dst"]) for b in "bc" for r in graph.range_edges(edges.where(f"workbook_id = '{b}'")).collect()]
+    want = {("c", "S!Q1"): [0, 0]}
+    for b, src, dst in pairs:
+        want.setdefault((b, src), [0, 0])[0] += 1
+        want.setdefault((b, dst), [0, 0])[1] += 1
+    runs = graph.read_runs(edges)
+    cells = spark.createDataFrame([("c", "S!Q1")], "workbook_id string, ref string")
+    assert {(r["workbook_id"], r["node"]): [r["n_reads"], r["n_read_by"]] for r in graph.nodes(runs, cells).collect()} == want
+    assert {(r["workbook_id"], r["src"]): r["cells"] for r in graph.reads(runs).collect()} == {k: v[0] for k, v in want.items() if v[0]}
+    # a long range is one row, not a row a cell
+    long = spark.createDataFrame([("b", f"S!C{k}", "range", f"S!A1:A{k + 2000}") for k in range(50)], edges.schema)
+    assert graph.read_runs(long).count() == 50

@@ -9,7 +9,7 @@ from ..functions import a1, dates, labels, numeric, periods
 from ..operators import credit, detectors, frs, graph, identities, lineage, mapping, messages, report, rollup, series
 from . import formula_queries, layout_queries, workbook_queries  # noqa: F401  they register their queries
 from . import statements as st
-from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES, dealt, query  # noqa: F401
 from .registry import table as _t
 
 # --- identities
@@ -261,8 +261,10 @@ def a1_address_roundtrip(spark, sf_dir):
 def range_expand_cap(spark, sf_dir):
     ref = F.concat(F.lit("A1:"), a1.index_to_col(2 + F.col("p_size") % 20), (1 + F.col("p_partkey") % 150).cast("string"))
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), ref.alias("ref"))
-    cells = a1.explode_range(p, F.col("ref")).withColumn("place", F.struct(F.regexp_extract("cell", r"\d+", 0).cast("int").alias("r"), F.length("cell"), "cell"))
-    return cells.groupBy("k").agg(F.count(F.lit(1)).alias("cells"), F.min("place")["cell"].alias("first_cell"), F.max("place")["cell"].alias("last_cell"), F.bool_or("truncated").alias("truncated"))
+    # each distinct range is expanded once, its cells are never more than the cap
+    cells = a1.explode_range(dealt(p.select("ref").distinct(), 500, "ref"), F.col("ref")).withColumn("place", F.struct(F.regexp_extract("cell", r"\d+", 0).cast("int").alias("r"), F.length("cell"), "cell"))
+    known = cells.groupBy("ref").agg(F.count(F.lit(1)).alias("cells"), F.min("place")["cell"].alias("first_cell"), F.max("place")["cell"].alias("last_cell"), F.bool_or("truncated").alias("truncated"))
+    return p.join(known, "ref").select("k", "cells", "first_cell", "last_cell", "truncated")
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS shown, CAST(o_orderdate AS DATE) AS day FROM orders")

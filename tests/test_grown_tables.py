@@ -23,3 +23,9 @@ def equal(spark, folder, name, **tables):
 def test_pairs_of_ranges_beyond_the_cap(spark, tmp_path):
     # rows beyond 2,000 are those of part numbers beyond 50,000
     equal(spark, tmp_path, "formula_graph_pairs", part="select 7 * i + 1 as p_partkey from range(7000, 7300) r(i)")
+
+
+def test_a_range_is_expanded_once(spark, tmp_path):
+    df = equal(spark, tmp_path, "range_expand_cap", part="select i as p_partkey, CAST(i % 3 * 9 AS INTEGER) as p_size from range(900) r(i)")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [ref" in plan[plan.index("Generate explode(") :]

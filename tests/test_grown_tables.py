@@ -29,3 +29,15 @@ def test_a_range_is_expanded_once(spark, tmp_path):
     df = equal(spark, tmp_path, "range_expand_cap", part="select i as p_partkey, CAST(i % 3 * 9 AS INTEGER) as p_size from range(900) r(i)")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [ref" in plan[plan.index("Generate explode(") :]
+
+
+def test_tasks_follow_the_table(spark):
+    from ledgermesh.operators.staging import stage
+    from ledgermesh.plans.registry import tasks_for
+
+    rows = spark.range(1000)
+    assert tasks_for(rows, 100) == 10 and tasks_for(rows, 10_000) == spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    staged = stage(rows.selectExpr("id % 500 as k").groupBy("k").count(), tasks_for(rows, 100))
+    assert len(staged.inputFiles()) == 10 and staged.count() == 500
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

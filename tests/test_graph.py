@@ -62,3 +62,25 @@ def test_reads_of_cells_by_runs(spark):
     # a long range is one row, not a row a cell
     long = spark.createDataFrame([("b", f"S!C{k}", "range", f"S!A1:A{k + 2000}") for k in range(50)], edges.schema)
     assert graph.read_runs(long).count() == 50
+
+
+def test_what_books_read_in_one_walk(spark):
+    """Rings, shared targets, starts without an edge; a chain of formulas takes no rounds, large books give the same."""
+    from ledgermesh.operators.detectors import _in_books
+
+    rng, rows = random.Random(8), []
+    for book in range(8):
+        rows += [(book, f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(14)]
+    starts = [(book, f"n{rng.randrange(12)}") for book in range(8)] + [(8, "lone"), (9, "c0")]
+    want = set(starts)
+    while True:
+        more = want | {(b, d) for b, s, d in rows if (b, s) in want}
+        if more == want:
+            break
+        want = more
+    chain = [(9, f"c{k}", f"c{k + 1}") for k in range(3000)] + [(9, "c3000", None)]
+    edges = spark.createDataFrame(rows, "workbook_id long, src string, dst string")
+    given = spark.createDataFrame(starts, "workbook_id long, ref string")
+    whole = _in_books(edges.unionByName(spark.createDataFrame(chain, edges.schema)), given).collect()
+    assert sorted((r[0], r[1]) for r in whole) == sorted(want | {(9, f"c{k}") for k in range(3001)})
+    assert {(r[0], r[1]) for r in _in_books(edges, given, most_edges=5).collect()} == want

@@ -175,7 +175,7 @@ def bands(lines: DataFrame) -> DataFrame:
 BLOCK = [*AT, "header_row"]
 
 
-def composed(cells: DataFrame, lines: DataFrame, scanned: DataFrame) -> DataFrame:
+def composed(cells: DataFrame, lines: DataFrame, scanned: DataFrame, tasks: int | None = None) -> DataFrame:
     """BLOCK, col, header_text, period_key, role of the composed columns of each band, before the grain is known."""
     inside = scanned.where("in_band").join(lines.select(*AT, "row", "by_quarter", "by_month", "is_start", "is_end"), [*AT, "row"])
     of_band = Window.partitionBy(*BLOCK)
@@ -205,7 +205,7 @@ def composed(cells: DataFrame, lines: DataFrame, scanned: DataFrame) -> DataFram
         # marks count on every line of the band
         F.collect_list(F.when((F.col("kind") == "role_marker") & F.col("role").isin("historical", "forecast"), F.struct("row", "role"))).alias("marks"),
     )
-    staged = stage(cols)
+    staged = stage(cols, tasks)
     cols = _with_marks(staged)
     alone = (F.size("years") == 1) & F.col("structural").isNull() & F.col("temporal")
     carried = F.last(F.when(alone, F.col("years")[0]), True).over(Window.partitionBy(*BLOCK).orderBy("col").rowsBetween(Window.unboundedPreceding, -1))
@@ -216,7 +216,7 @@ def composed(cells: DataFrame, lines: DataFrame, scanned: DataFrame) -> DataFram
         .when(F.col("year").isNotNull() & F.col("quarter").isNotNull(), F.concat("year", F.lit("Q"), F.col("quarter").cast("string"))).when(F.col("year").isNotNull() & F.col("month").isNotNull(), dated).otherwise(F.coalesce("full", "year"))
     )
     role = F.coalesce("said", "marked", "structural.role", F.lit("historical"))
-    out = stage(cols.select(*BLOCK, "col", "header_text", key.alias("period_key"), role.alias("role")).where("period_key is not null"))
+    out = stage(cols.select(*BLOCK, "col", "header_text", key.alias("period_key"), role.alias("role")).where("period_key is not null"), tasks)
     discard(staged)
     return out
 
@@ -259,12 +259,12 @@ def parents(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(some.groupBy(*keys).applyInArrow(climb, f"{kinds}, parent_row int"), [*keys, "row"])
 
 
-def detect_layout(cells: DataFrame) -> Layout:
-    """Axes and lines of all blocks of all sheets."""
-    c = stage(shown(cells.withColumn("book", F.col("book").cast("string"))))
-    lines = stage(line_classes(c))
-    scanned = stage(bands(lines))
-    axis = composed(c, lines, scanned)
+def detect_layout(cells: DataFrame, tasks: int | None = None) -> Layout:
+    """Axes and lines of all blocks of all sheets; steps on the way shuffle to ``tasks`` tasks where that is given."""
+    c = stage(shown(cells.withColumn("book", F.col("book").cast("string"))), tasks)
+    lines = stage(line_classes(c), tasks)
+    scanned = stage(bands(lines), tasks)
+    axis = composed(c, lines, scanned, tasks)
     grain = axis.groupBy(*BLOCK).agg(infer_grain(F.collect_list("period_key")).alias("grain"))
     axis = axis.join(grain, BLOCK).withColumn("period_key", apply_grain(F.col("period_key"), F.col("grain")))
     timed = F.col("role").isin(*TIMED) & ~F.col("period_key").isin("actual", "plan", "total", "stub")

@@ -31,6 +31,15 @@ def test_a_range_is_expanded_once(spark, tmp_path):
     assert "Aggregate [ref" in plan[plan.index("Generate explode(") :]
 
 
+#: Orders of three nations in every month, in months with gaps and in one month.
+MONTHS = "select i as o_custkey, timestamp '1995-01-01' + to_months(CAST(m AS INTEGER)) as o_orderdate, 10.5 as o_totalprice from range(3) r(i) cross join range(30) s(m) where i = 0 or i = 1 and m in (0, 1, 2, 9, 10, 29) or i = 2 and m = 4"
+NATIONS = "select i as c_custkey, i as c_nationkey from range(3) r(i)"
+
+
+def test_grain_of_uneven_months(spark, tmp_path):
+    equal(spark, tmp_path, "grain_infer_apply", orders=MONTHS, customer=NATIONS)
+
+
 def test_tasks_follow_the_table(spark):
     from ledgermesh.operators.staging import stage
     from ledgermesh.plans.registry import tasks_for

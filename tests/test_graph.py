@@ -64,6 +64,26 @@ def test_reads_of_cells_by_runs(spark):
     assert graph.read_runs(long).count() == 50
 
 
+def test_reads_of_whole_ranges(spark):
+    """Without a cap the runs of a cell hold every cell of its ranges once: long, wide, overlapping, whole columns and rows."""
+    made = {
+        "S!H1": [("range", "S!A1:A5000"), ("range", "S!A4000:A6000"), ("ref", "S!A6000")],
+        "S!H2": [("range", "S!D9:DC108"), ("range", "S!B2:B2001")],
+        "S!H3": [("range", "O!B:C"), ("range", "O!C5:C7")],
+        "S!H4": [("range", "O!9:10")],
+    }
+    edges = spark.createDataFrame([("b", src, *e) for src, some in made.items() for e in some], "workbook_id string, src string, kind string, dst string")
+    runs = graph.read_runs(edges, cap=None)
+    assert {r["src"]: r["cells"] for r in graph.reads(runs).collect()} == {"S!H1": 6000, "S!H2": 104 * 100 + 2000, "S!H3": 2 * 1_048_576, "S!H4": 2 * 16_384}
+    small = graph.nodes(runs.where("src in ('S!H1', 'S!H2')"), spark.createDataFrame([("b", "S!A2500"), ("b", "S!Q1")], "workbook_id string, ref string"))
+    got = {r["node"]: (r["n_reads"], r["n_read_by"]) for r in small.collect()}
+    # A1 to A6000, B2 to B2001, D9 to DC108, the two formulas and Q1
+    assert len(got) == 6000 + 2000 + 10_400 + 2 + 1 and sum(n for _, n in got.values()) == 6000 + 12_400
+    assert [got[n] for n in ("S!H1", "S!A2500", "S!A6000", "S!DC108", "S!Q1")] == [(6000, 0), (0, 1), (0, 1), (0, 1), (0, 0)]
+    # A1 to A2000, A4000 to A5999 and A6000 are left with the cap
+    assert graph.reads(graph.read_runs(edges.where("src = 'S!H1'"))).collect()[0]["cells"] == 4001
+
+
 def test_what_books_read_in_one_walk(spark):
     """Rings, shared targets, starts without an edge; a chain of formulas takes no rounds, large books give the same."""
     from ledgermesh.operators.detectors import _in_books

@@ -25,6 +25,15 @@ def test_pairs_of_ranges_beyond_the_cap(spark, tmp_path):
     equal(spark, tmp_path, "formula_graph_pairs", part="select 7 * i + 1 as p_partkey from range(7000, 7300) r(i)")
 
 
+def test_nodes_of_ranges_whole(spark, tmp_path):
+    df = equal(spark, tmp_path, "formula_graph_nodes", part="select 7 * i + 1 as p_partkey from range(7000, 7300) r(i)")
+    # a book's 12 formulas are 7 rows apart and read A1 to their own row, and B1; seven of them reach row 2,001
+    got = {(r["workbook_id"], r["node"]): (r["n_reads"], r["n_read_by"]) for r in df.collect()}
+    last = 7 * 7299 + 1
+    book, row = str(last % 25), last // 25 + 1
+    assert got[book, f"S!C{row}"] == (row + 1, 0) and got[book, f"S!A{row}"] == (0, 1) and got[book, "S!A1"] == (0, 12) and got[book, "S!A2001"] == (0, 7)
+
+
 def test_a_range_is_expanded_once(spark, tmp_path):
     df = equal(spark, tmp_path, "range_expand_cap", part="select i as p_partkey, CAST(i % 3 * 9 AS INTEGER) as p_size from range(900) r(i)")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
